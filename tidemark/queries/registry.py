@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.queries import problems
+from tidemark.queries import problems, temporal
 
-MODULES = (problems,)
+MODULES = (problems, temporal)
 
 
 def queries() -> dict[str, Callable]:
