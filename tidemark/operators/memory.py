@@ -17,7 +17,7 @@ def consolidate(observations: DataFrame, least: int = 3, least_sources: int = 1,
     g = observations.groupBy("subject_id", "predicate_name", "object_key").agg(
         F.count("*").alias("members"),
         F.countDistinct("source_id").alias("sources"),
-        F.avg("confidence").alias("mean"),
+        (F.sum(F.col("confidence").cast("decimal(18,6)")).cast("double") / F.count("confidence")).alias("mean"),  # exact sum: any order gives the same
         F.min("valid_from").alias("valid_from"),
         F.min_by("assertion_id", F.struct("recorded_at", "assertion_id")).alias("first_assertion_id"),
     )

@@ -94,11 +94,11 @@ def latest_page(spark, d):
 
 
 @query(f"""WITH {REQUESTS} SELECT request_id, source_sequence FROM r
-  WHERE source_id = (SELECT min(source_id) FROM r) AND CASE WHEN regexp_full_match(source_sequence, '[0-9]+') THEN source_sequence::HUGEINT > 100 ELSE source_sequence > '100' END""")
+  WHERE source_id = (SELECT max(source_id) FROM r WHERE regexp_full_match(source_sequence, '[0-9]+')) AND CASE WHEN regexp_full_match(source_sequence, '[0-9]+') THEN source_sequence::HUGEINT > 9 ELSE source_sequence > '9' END""")
 def changed_since(spark, d):
     rows = requests(spark, d)
-    one = rows.agg(F.min("source_id").alias("source_id"))
-    return rows.join(one, "source_id", "left_semi").filter(asof.changed_since(F.col("source_sequence"), "100")).select("request_id", "source_sequence")
+    one = rows.filter(ordering.digits(F.col("source_sequence"))).agg(F.max("source_id").alias("source_id"))
+    return rows.join(one, "source_id", "left_semi").filter(asof.changed_since(F.col("source_sequence"), "9")).select("request_id", "source_sequence")
 
 
 @query(f"WITH {CLAIMS}, {REQUESTS} SELECT {_SHOWN} FROM c WHERE {_OPEN} AND EXISTS (SELECT 1 FROM r WHERE r.request_id = c.source_request_id AND r.operation = 'correction')")
@@ -160,7 +160,7 @@ def allen_relations(spark, d):
 
 
 @query(f"""WITH {SOURCED} SELECT a.assertion_id, b.assertion_id AS later_id,
-  CASE WHEN a.source_id <> b.source_id THEN 2 WHEN a.source_sequence IS NOT NULL AND b.source_sequence IS NOT NULL THEN
+  CASE WHEN a.source_id <> b.source_id THEN 2 WHEN a.source_sequence <> '' AND b.source_sequence <> '' THEN
     CASE WHEN regexp_full_match(a.source_sequence, '[0-9]+') AND regexp_full_match(b.source_sequence, '[0-9]+') THEN sign(a.source_sequence::HUGEINT - b.source_sequence::HUGEINT)::INT
     WHEN a.source_sequence < b.source_sequence THEN -1 WHEN a.source_sequence > b.source_sequence THEN 1 ELSE 0 END
    WHEN a.source_commit_time < b.source_commit_time THEN -1 WHEN a.source_commit_time > b.source_commit_time THEN 1 WHEN a.source_commit_time = b.source_commit_time THEN 0 ELSE 2 END AS compared
@@ -241,9 +241,9 @@ def retract_claims(spark, d):
 
 
 _GROUPED = f"""WITH {SOURCED}, g AS (
- SELECT subject_id, predicate_name, count(*) AS members, count(DISTINCT source_id) AS sources, avg(confidence) AS mean, min(valid_from) AS valid_from
+ SELECT subject_id, predicate_name, count(*) AS members, count(DISTINCT source_id) AS sources, sum(confidence::DECIMAL(18, 6))::DOUBLE / count(confidence) AS mean, min(valid_from) AS valid_from
  FROM sc WHERE memory_kind = 'episodic' AND {_OPEN} GROUP BY 1, 2)
- SELECT subject_id, predicate_name, members, sources, valid_from, round(least(0.95, mean * (0.6 + 0.25 * (1 - pow(0.6, members)) + 0.15 * (1 - pow(0.5, sources)))), 8) AS confidence FROM g"""
+ SELECT subject_id, predicate_name, members, sources, valid_from, (floor(least(0.95, mean * (0.6 + 0.25 * (1 - pow(0.6, members)) + 0.15 * (1 - pow(0.5, sources)))) * 1e6 + 0.5) / 1e6)::DOUBLE AS confidence FROM g"""
 
 
 def _observations(spark, d):
@@ -253,7 +253,7 @@ def _observations(spark, d):
 @query(f"SELECT subject_id, predicate_name, members, sources, valid_from, confidence FROM ({_GROUPED}) WHERE members >= 2 AND confidence >= 0.5")
 def consolidate_groups(spark, d):
     found = memory.consolidate(_observations(spark, d), least=2)
-    return found.select("subject_id", "predicate_name", "members", "sources", "valid_from", F.round("confidence", 8).alias("confidence"))
+    return found.select("subject_id", "predicate_name", "members", "sources", "valid_from", (F.floor(F.col("confidence") * 1e6 + 0.5) / 1e6).alias("confidence"))
 
 
 @query(f"SELECT count(*) AS facts FROM ({_GROUPED}) g WHERE members >= 2 AND confidence >= 0.5 AND NOT EXISTS (SELECT 1 FROM assertions d WHERE d.memory_kind = 'derived' AND d.subject_id = g.subject_id AND d.predicate_name = g.predicate_name)")
