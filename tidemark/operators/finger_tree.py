@@ -39,6 +39,16 @@ class FingerTree:
             n = n.kids[0]
         return n.keys[0] if n.keys else None
 
+    def items(self):
+        """(key, value) in order."""
+        todo = [self.root]
+        while todo:
+            n = todo.pop()
+            if n.kids is None:
+                yield from zip(n.keys, n.vals)
+            else:
+                todo.extend(reversed(n.kids))
+
     def add(self, key: int, value: int) -> None:
         n = self.finger
         if not n.keys or key >= n.keys[0] or n.parent is None:

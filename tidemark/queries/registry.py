@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.queries import problems, temporal
+from tidemark.queries import problems, retrieval, temporal
 
-MODULES = (problems, temporal)
+MODULES = (problems, temporal, retrieval)
 
 
 def queries() -> dict[str, Callable]:
