@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from tidemark.queries import problems, retrieval, temporal
+from tidemark.queries import ledger, problems, relational, retrieval, temporal
 
-MODULES = (problems, temporal, retrieval)
+MODULES = (problems, temporal, retrieval, ledger, relational)
 
 
 def queries() -> dict[str, Callable]:
