@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import text, vectors
+from tidemark.plans.tables import spread
 
 K1, B = 1.2, 0.75
 
@@ -42,7 +43,7 @@ def bm25(records: DataFrame, queries: DataFrame, mode: str = "any", anchors: Dat
     terms = query_terms(queries)
     if anchors is not None:
         terms = terms.unionByName(anchors.select("query_id", "term")).distinct()
-    words = records.select("record_id", F.length("content").alias("chars"), F.explode(text.tokens(F.col("content"))).alias("term"))
+    words = spread(records.select("record_id", "content")).select("record_id", F.length("content").alias("chars"), F.explode(text.tokens(F.col("content"))).alias("term"))
     words = words.join(terms.select("term").distinct(), "term", "left_semi")
     posted = words.groupBy("record_id", "term").agg(F.count("*").alias("tf"), F.first("chars").alias("chars"))
     # one row: its broadcast is bounded
@@ -79,8 +80,8 @@ def exact(records: DataFrame, queries: DataFrame) -> DataFrame:
     Substring tests have no key, so queries, few against the corpus, meet each record by a condition: a nested-loop join
     that streams the corpus once. Its broadcast side is the queries; Spark refuses one beyond its limits.
     """
-    q = queries.select("query_id", "query").filter("query <> ''")
-    rows = records.join(q, F.contains(F.lower("content"), F.lower("query")))
+    q = queries.select("query_id", "query", F.lower("query").alias("low_query")).filter("query <> ''")
+    rows = spread(records.select("record_id", "content")).withColumn("low", F.lower("content")).join(q, F.contains("low", "low_query"))
     return rows.select("query_id", "record_id", text.similarity(F.col("content"), F.col("query")).alias("score"), F.length("content").alias("chars"))
 
 

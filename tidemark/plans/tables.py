@@ -25,6 +25,15 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Over all cores, where a scan of few files would leave most of them idle before costly work on each row.
+
+    A scan that already has a partition per core, as any large one has, stays as it is: no shuffle.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 class Scratch:
     """Written intermediate tables under the shared folder.
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import keys, ordering, scores, text, vectors
 from tidemark.operators import asof, ingest, projection, provenance
 from tidemark.operators.change_feed import changes, position
-from tidemark.plans.tables import table
+from tidemark.plans.tables import spread, table
 from tidemark.queries.bindings import CLAIMS, ENTITIES, REQUESTS, SOURCED, claims, entities, requests, sourced
 from tidemark.sources import change_log, chunks, decode, portable
 
@@ -320,7 +320,7 @@ def token_count(spark, d):
 
 @query()
 def token_estimate(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
+    return spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
 
 _SCOPE = "CASE WHEN workspace_id IS NULL THEN '' ELSE 'kind=' || replace(url_encode(kind), '%20', '+') || ';name=' || replace(url_encode(source_name), '%20', '+') END"
@@ -341,13 +341,13 @@ def trust_scores(spark, d):
 
 @query("SELECT doc_id, len(list_filter(regexp_split_to_array(text, '\\n\\n+'), lambda p: " + " OR ".join(f"regexp_matches(p, '{p.replace(chr(39), chr(39) * 2)}')" for p in text.INJECTIONS) + "))::INT AS suspicious FROM documents WHERE text IS NOT NULL")
 def injection_flags(spark, d):
-    return table(spark, d, "documents").filter("text is not null").select("doc_id", F.size(text.suspicious_paragraphs(F.col("text"))).alias("suspicious"))
+    return spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", F.size(text.suspicious_paragraphs(F.col("text"))).alias("suspicious"))
 
 
 @query("""SELECT item_id, doc_id FROM eval_items JOIN documents ON answer IS NOT NULL AND trim(answer) <> '' AND contains(trim(regexp_replace(lower(documents.text), '\\s+', ' ', 'g')), trim(regexp_replace(lower(answer), '\\s+', ' ', 'g')))""")
 def grounded_quotes(spark, d):
     q = table(spark, d, "eval_items").select("item_id", text.normalize_alias(F.col("answer")).alias("quote")).filter("quote <> ''")
-    docs = table(spark, d, "documents").select("doc_id", text.normalize_alias(F.col("text")).alias("source"))
+    docs = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize_alias(F.col("text")).alias("source"))
     return docs.join(q, F.contains("source", "quote")).select("item_id", "doc_id")
 
 

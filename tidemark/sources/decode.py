@@ -19,6 +19,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.plans.tables import spread
+
 PLAIN, MARKDOWN, JSON, CHANGE = "text/plain", "text/markdown", "application/json", "application/vnd.change-row+json"
 #: Where a record's key and time are looked for, in order. Fixed values.
 KEY_FIELDS = ("id", "ID", "_id", "uuid", "key", "pk", "primary_key")
@@ -162,4 +164,4 @@ def decode(payloads: DataFrame, key: str, media_type: str, text: str) -> DataFra
             cols = [pa.array([s.get(f.name) for s in made], f.type) for f in own]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int32())), *cols], ["id", *own.names])
 
-    return rows.mapInArrow(run, StructType([id_field, *StructType.fromDDL(SEGMENT).fields]))
+    return spread(rows).mapInArrow(run, StructType([id_field, *StructType.fromDDL(SEGMENT).fields]))
