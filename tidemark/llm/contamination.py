@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import sequence_hashes, word_hashes
-from tidemark.plans.tables import Scratch
+from tidemark.plans.tables import Scratch, spread
 
 WORDS = 5
 
@@ -58,7 +58,7 @@ def _sequences(df: DataFrame, kept: np.ndarray | None) -> DataFrame:
                     ids, seqs, places, size = [], [], [], 0
             yield _batch(ids, seqs, places)
 
-    return df.select("id", "text").filter("id is not null and text is not null").mapInArrow(run, "id long, seq long, pos int")
+    return spread(df.select("id", "text").filter("id is not null and text is not null")).mapInArrow(run, "id long, seq long, pos int")
 
 
 def _batch(ids: list, seqs: list, places: list) -> pa.RecordBatch:
@@ -76,9 +76,10 @@ def contained(items: DataFrame, documents: DataFrame, least: int = 8, kept: int
     scratch = Scratch(spark)
     owned = scratch.write(_sequences(items.dropDuplicates(["id", "text"]), None).groupBy("id", "seq").agg(F.min("pos").alias("pos")))
     vocabulary = owned.select("seq").distinct()
-    small = vocabulary.limit(kept + 1).count() <= kept
+    some = vocabulary.limit(kept + 1).collect()
+    small = len(some) <= kept
     if small:
-        only = np.sort(np.array([r.seq for r in vocabulary.collect()], dtype=np.int64))
+        only = np.sort(np.array([r.seq for r in some], dtype=np.int64))
         hits = _sequences(documents, only)
     else:
         hits = _sequences(documents, None).join(vocabulary, "seq", "left_semi")

@@ -78,22 +78,25 @@ def groups(pairs: DataFrame) -> DataFrame:
         rest = rest.unionByName(rest.filter(F.col("b") == least).select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     rest = scratch.write(rest)
 
-    labels = None
+    steps: list[DataFrame] = []
     while rest.count():
-        least_of = scratch.write(rest.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to")))
+        least_of = rest.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
         far = least_of.select(F.col("v").alias("to"), F.col("to").alias("further"))
         step = scratch.write(least_of.join(far, "to", "left").select("v", F.coalesce("further", "to").alias("to")))
         moved = rest.join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
         moved = moved.join(step.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
         moved = scratch.write(moved)
+        scratch.drop(rest)
+        rest = moved
+        steps.append(step)
+    # labels compose from the last, smallest step back to the first, which has every vertex
+    labels = None
+    for step in reversed(steps):
         if labels is None:
-            labels_next = step
+            labels = step
         else:
-            onward = step.select(F.col("v").alias("to"), F.col("to").alias("next"))
-            labels_next = scratch.write(labels.join(onward, "to", "left").select("v", F.coalesce("next", "to").alias("to")))
-            scratch.drop(labels, step)
-        scratch.drop(rest, least_of)
-        rest, labels = moved, labels_next
+            onward = labels.select(F.col("v").alias("to"), F.col("to").alias("next"))
+            labels = step.join(onward, "to", "left").select("v", F.coalesce("next", "to").alias("to"))
 
     giant = peeled.select(F.lit(least).alias("to"), F.col("v"))
     if labels is None:

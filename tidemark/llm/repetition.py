@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import sequence_hashes, word_hashes
+from tidemark.plans.tables import spread
 
 WORDS = 5
 LINKS = re.compile(r"[|»«›‹>→•·/]")
@@ -87,7 +88,7 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repetition(documents: DataFrame, most_lost: float = 0.5) -> DataFrame:
     """One row per document (``id``, ``text``): counts, ``repeated_share`` of the whole text, ``lost_share``, ``rejected``."""
     share = lambda part, all_: F.when(F.col(all_) > 0, F.col(part) / F.col(all_))
-    found = documents.filter("id is not null").select(F.col("id").cast("long").alias("id"), "text").mapInArrow(_run, SCHEMA)
+    found = spread(documents.filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")).mapInArrow(_run, SCHEMA)
     return found.select(
         "id", "n_words", "sequences", "different_sequences",
         F.when(F.col("sequences") > 0, (F.col("sequences") - F.col("different_sequences")) / F.col("sequences")).alias("repeated_share"),

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.plans.tables import spread
+
 FOLDER = "/opt/tokenizers"
 LENGTH = 400
 #: How texts of this vocabulary are split into words before the merges. Fixed value.
@@ -98,4 +100,5 @@ def encoded(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
 
-    return documents.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "id long, ids array<int>")
+    rows = documents.select(F.col("id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return spread(rows).mapInArrow(run, "id long, ids array<int>")
