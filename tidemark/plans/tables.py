@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -30,6 +31,10 @@ def spread(df: DataFrame) -> DataFrame:
 
     A scan that already has a partition per core, as any large one has, stays as it is: no shuffle.
     """
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = {re.match(r"\W*(\w+)", line)[1] for line in plan.splitlines() if re.match(r"\W*\w", line)}
+    if not nodes <= {"Project", "Filter", "Relation", "LocalRelation"}:
+        return df  # only scans are judged: counting the partitions of anything else would run its shuffles
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -43,6 +48,7 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self.root = f"{shared_folder(spark)}/tidemark-{uuid.uuid4().hex}"
+        spark.__dict__.setdefault("_tidemark_scratch", []).append(self.root)
         self.count = 0
 
     def write(self, df: DataFrame) -> DataFrame:
@@ -60,3 +66,11 @@ class Scratch:
                 at = hadoop.Path(path)
                 at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
                 t._tidemark_path = None
+
+
+def clean(spark: SparkSession) -> None:
+    """Delete what this session wrote to the shared folder. No result that still reads from it may be in use."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for root in spark.__dict__.pop("_tidemark_scratch", []):
+        at = hadoop.Path(root)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys, ordering, scores, text, vectors
-from tidemark.operators import asof, ingest, projection, provenance
+from tidemark.operators import asof, ingest, ledger, projection, provenance
+from tidemark.plans import retrieve
 from tidemark.operators.change_feed import changes, position
 from tidemark.plans.tables import spread, table
 from tidemark.queries.bindings import CLAIMS, ENTITIES, REQUESTS, SOURCED, claims, entities, requests, sourced
@@ -372,3 +373,54 @@ def canonical_images(spark, d):
 @query()
 def fnv_hashes(spark, d):
     return entities(spark, d).filter("canonical_name is not null").select("entity_id", vectors.fnv1a(F.col("canonical_name")).alias("hash"))
+
+
+# writing
+
+
+@query(f"""WITH {CLAIMS}, v AS (SELECT DISTINCT conflict_set_id, object_key FROM c WHERE conflict_set_id IS NOT NULL)
+ SELECT assertion_id, coalesce((SELECT string_agg(v.object_key, '|' ORDER BY v.object_key) FROM v WHERE v.conflict_set_id = c.conflict_set_id AND v.object_key <> c.object_key), '') AS others FROM c WHERE conflict_set_id IS NOT NULL""")
+def conflict_annotations(spark, d):
+    return ledger.other_sides(claims(spark, d))
+
+
+@query(f"""WITH {CLAIMS} SELECT assertion_id, CASE WHEN status = 'disputed' AND superseded_at IS NULL AND retracted_at IS NULL AND conflict_set_id IN (SELECT conflict_set_id FROM conflict_sets WHERE resolution <> 'open') THEN 'active' ELSE status END AS status FROM c""")
+def conflict_resolve(spark, d):
+    return ledger.resolved(claims(spark, d), table(spark, d, "conflict_sets").filter("resolution <> 'open'")).select("assertion_id", "status")
+
+
+_PARTS = ", ".join(f"coalesce({c}::VARCHAR, '')" for c in ("workspace_id", "graph_space_id", "subject_id", "predicate_name", "object_key")) + ", '', coalesce(source_request_id, ''), coalesce(memory_kind, '')"
+
+
+@query(f"WITH {CLAIMS} SELECT assertion_id, {_KEY % ("'assertion', " + _PARTS)} AS fingerprint FROM c")
+def fingerprints(spark, d):
+    own = ("workspace_id", "graph_space_id", "subject_id", "predicate_name", "object_key", "scope_key", "source_request_id", "memory_kind")
+    rows = claims(spark, d)
+    return rows.select("assertion_id", ledger.fingerprint(own, rows.columns).alias("fingerprint"))
+
+
+@query(f"WITH {CLAIMS}, {REQUESTS} SELECT r.classification, count(*) AS claims, count(*) FILTER (confidence <= 0) AS lifted FROM c JOIN r ON r.request_id = c.source_request_id GROUP BY 1")
+def build_claims(spark, d):
+    rows = claims(spark, d).withColumn("was", F.col("confidence"))
+    built = ledger.build(rows, requests(spark, d), "2026-01-01 00:00:00")
+    return built.groupBy("classification").agg(F.count("*").alias("claims"), F.count(F.when(F.col("was") <= 0, 1)).alias("lifted"))
+
+
+@query(f"WITH {CLAIMS} SELECT count(*) AS claims FROM (SELECT DISTINCT workspace_id, graph_space_id, subject_id, predicate_name, object_key, valid_from, valid_to, source_request_id, memory_kind FROM c)")
+def commit_once(spark, d):
+    rows = claims(spark, d)
+    rows = rows.withColumn("fingerprint", ledger.fingerprint(ledger.FINGERPRINT, rows.columns))
+    some = ledger.commit(rows.limit(0), rows.filter("memory_kind = 'semantic'"))
+    return ledger.commit(some, rows).agg(F.count("*").alias("claims"))
+
+
+@query()
+def hybrid_query(spark, d):
+    """Three questions end to end: documents and claims, entities by name, their neighbours by merges."""
+    docs = table(spark, d, "documents").select(F.lit("chunk").alias("surface"), F.col("doc_id").cast("string").alias("record_id"), F.col("text").alias("content"))
+    records = docs.unionByName(projection.claim_records(claims(spark, d), entities(spark, d)).select("surface", "record_id", "content"))
+    e = entities(spark, d)
+    names = e.filter("canonical_name is not null").select("entity_id", F.col("canonical_name").alias("name"))
+    edges = e.filter("merged_into_id is not null").select(F.col("entity_id").alias("src"), F.col("merged_into_id").alias("dst"))
+    questions = {"q1": "Which refund was disputed after the outage?", "q2": "Who reported case CASE-83453 before 2025-02-01?", "q3": "seat limit of the support region"}
+    return retrieve.retrieve(records, names, edges, questions).select("query_id", "surface", "record_id", F.round("score", 6).alias("score"), "position", "anchored")
