@@ -26,11 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.plans.tables import spread
 
 FOLDER = "/opt/tokenizers"
-LENGTH = 400
+LENGTH = 512
 #: How texts of this vocabulary are split into words before the merges. Fixed value.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: White space characters. Fixed values.
-SPACES = np.array([9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+SPACES = tuple(chr(c).encode() for c in (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000))
 
 
 class Encoder:
@@ -40,45 +40,50 @@ class Encoder:
         with open(file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.length = length
-        self.encode = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
-        self.inside = np.zeros((256, 256), bool)
+        self.encoding = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.encode = self.encoding.encode_ordinary
+        inside = bytearray(1 << 16)
         for token in ranks:
-            b = np.frombuffer(token, np.uint8)
-            self.inside[b[:-1], b[1:]] = True
-        self.cache: dict[str, list[int]] = {}
-
-    def cuts(self, text: str) -> np.ndarray:
-        """All positions where the text may be cut for certain."""
-        c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        last = np.where(c < 0x80, c, 0x80 | (c & 0x3F)).astype(np.uint8)[:-1]
-        n = c[1:]
-        first = np.select([n < 0x80, n < 0x800, n < 0x10000], [n, 0xC0 | (n >> 6), 0xE0 | (n >> 12)], 0xF0 | (n >> 18)).astype(np.uint8)
-        return np.flatnonzero(~self.inside[last, first] & ~np.isin(c[:-1], SPACES) & (n != 39)) + 1
-
-    def fragments(self, text: str) -> list[str]:
-        """The text in order, in pieces of at least ``length`` characters where it can be cut."""
-        if len(text) <= self.length:
-            return [text]
-        at, out, cuts = 0, [], self.cuts(text)
-        while (i := int(np.searchsorted(cuts, at + self.length))) < len(cuts):
-            out.append(text[at : cuts[i]])
-            at = int(cuts[i])
-        out.append(text[at:])
+            for pair in zip(token, token[1:]):
+                inside[pair[0] << 8 | pair[1]] = 1
+        self.inside = bytes(inside)
+        self.cache: dict[bytes, np.ndarray] = {}
+
+    def next_cut(self, b: bytes, at: int) -> int:
+        """The first position from ``at`` on where a text may be cut for certain; its end if there is none."""
+        inside, n = self.inside, len(b)
+        for i in range(at, n):
+            c = b[i]
+            # a pair inside no token, at the start of a character other than the apostrophe, not after white space
+            if not inside[b[i - 1] << 8 | c] and c & 0xC0 != 0x80 and c != 39 and not b[max(0, i - 3) : i].endswith(SPACES):
+                return i
+        return n
+
+    def fragments(self, b: bytes) -> list[bytes]:
+        """A text's bytes in order, in pieces of ``length`` or a little more where it can be cut."""
+        at, out, n = 0, [], len(b)
+        while n - at > self.length:
+            end = self.next_cut(b, at + self.length)
+            out.append(b[at:end])
+            at = end
+        if at < n:
+            out.append(b[at:])
         return out
 
-    def ids(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        out: list[int] = []
-        for f in self.fragments(text):
+    def array(self, text: str | None) -> np.ndarray:
+        parts = []
+        for f in self.fragments((text or "").encode()):
             known = self.cache.get(f)
             if known is None:
-                known = self.encode(f)
+                known = self.encoding.encode_to_numpy(f.decode(), disallowed_special=()).astype(np.int32)
                 if len(self.cache) >= 4096:
                     self.cache.clear()
                 self.cache[f] = known
-            out += known
-        return out
+            parts.append(known)
+        return np.concatenate(parts) if parts else np.empty(0, np.int32)
+
+    def ids(self, text: str | None) -> list[int]:
+        return self.array(text).tolist()
 
 
 @lru_cache(maxsize=2)
@@ -94,9 +99,9 @@ def encoded(documents: DataFrame, vocabulary: str = "byte_bpe_50k", folder: str
         enc = encoder(file)
         for b in batches:
             for part in (b.slice(i, 256) for i in range(0, b.num_rows, 256)):
-                lists = [enc.ids(t.as_py()) for t in part.column(1)]
+                lists = [enc.array(t.as_py()) for t in part.column(1)]
                 ends = np.cumsum([0, *map(len, lists)])
-                flat = np.fromiter((x for ids in lists for x in ids), np.int32, int(ends[-1]))
+                flat = np.concatenate(lists) if lists else np.empty(0, np.int32)
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], ["id", "ids"])
 
