@@ -8,8 +8,9 @@ an event is late depends on its own arrival only, so tasks needn't see each othe
 
 Defined cases: an event without event time belongs to no period and is left out; one without any arrival time never
 arrived and is left out; null groups and keys are values like others (null equals null); where rows of an event disagree
-about its event time the latest counts; repeated rows count once; an empty table gives an empty result. Other columns,
-whatever their names, are ignored. The arrival may equal the cut-off exactly: that is in time.
+about its event time the latest counts; repeated rows count once; an empty table gives an empty result; groups and keys
+come out as strings. Other columns, whatever their names, are ignored. The arrival may equal the cut-off exactly: that is in
+time.
 """
 
 from __future__ import annotations

@@ -92,8 +92,7 @@ def partial_lists(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
 
         part = TaskContext.get().partitionId()
         done: list[tuple] = []  # of slots that ended
-        own: list[tuple] = []  # of the slot at hand
-        slot, lo, hi, before, first = None, 0, 0, None, True
+        slot, own, first = None, IntervalList(), True
 
         def batch() -> pa.RecordBatch:
             cols = list(zip(*done)) or [()] * len(names)
@@ -101,24 +100,18 @@ def partial_lists(intervals: DataFrame, keys: Sequence[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 
         def leave(border: bool) -> None:
-            own.append((lo, hi, before))
-            done.extend((*slot, *x, part, border) for x in own)
-            own.clear()
+            ends = [None, *(hi for _, hi in own.pairs)]
+            done.extend((*slot, lo, hi, before, part, border) for (lo, hi), before in zip(own.pairs, ends))
 
         for b in batches:
             cols = [b.column(i).to_pylist() for i in range(n)] + [b.column(n + i).cast(pa.timestamp("us")).cast(pa.int64()).to_pylist() for i in range(2)]
             for *key, a, z in zip(*cols):
-                if key == slot:
-                    if a <= hi:
-                        hi = max(hi, z)
-                    else:
-                        own.append((lo, hi, before))
-                        lo, hi, before = a, z, hi
-                    continue
-                if slot is not None:
-                    leave(first)
-                    first = False
-                slot, lo, hi, before = key, a, z, None
+                if key != slot:
+                    if slot is not None:
+                        leave(first)
+                        first = False
+                    slot, own = key, IntervalList()
+                own.append(a, z)
             if len(done) > 10_000:
                 yield batch()
         if slot is not None:

@@ -41,7 +41,7 @@ def _slot_intervals(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _text(c: str) -> Column:
-    return F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return F.substring(F.col(c).cast("string"), 1, 19).alias(c)
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
