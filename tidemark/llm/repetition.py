@@ -22,16 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import sequence_hashes, word_hashes
+from tidemark.llm.words import hashes_at, renew, sequence_hashes, word_places
 from tidemark.plans.tables import spread
 
 WORDS = 5
 LINKS = re.compile(r"[|»«›‹>→•·/]")
+PARAGRAPHS = re.compile(r"\r?\n[ \t]*\r?\n")
 ENDS = tuple(".!?…:;\"'”’)]}。！？」』、")
-NOTICES = re.compile(
-    r"all rights reserved|terms of (?:use|service)|privacy policy|cookie|subscribe|sign (?:in|up)|log ?in|click here|read more|javascript|unsubscribe|follow us|share this",
-    re.IGNORECASE,
-)
+#: Notices that pages carry, lower case. Fixed list.
+NOTICES = (
+    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "subscribe", "sign in", "sign up", "log in", "login",
+    "click here", "read more", "javascript", "follow us", "share this",
+)
 SCHEMA = (
     "id long, n_words long, sequences long, different_sequences long, lines long, repeated_lines long, paragraphs long, "
     "repeated_paragraphs long, chars long, lost_chars long, kept_sequences long, kept_different_sequences long"
@@ -40,41 +42,50 @@ SCHEMA = (
 
 def fails(line: str, words: int) -> bool:
     """Whether a line by itself is navigation, boilerplate or unpunctuated prose."""
-    links = len(LINKS.findall(line))
-    if words == 0 or (words <= 8 and links >= 2) or links > words:
+    if words == 0:
         return True
-    if words <= 20 and NOTICES.search(line):
+    if words > 30 and not line.endswith(ENDS):
+        return True
+    links = len(LINKS.findall(line))
+    if links > words or words <= 8 and links >= 2:
         return True
-    return words > 30 and not line.endswith(ENDS)
+    if words > 20:
+        return False
+    low = line.lower()
+    return any(n in low for n in NOTICES)
 
 
 def _measure(text: str) -> tuple[int, ...]:
-    seen: dict[str, np.ndarray] = {}
-    whole, kept = [], []
+    renew()
+    seen: dict[str, list[int]] = {}
+    whole: list[int] = []
+    kept: list[int] = []
     n = repeated = chars = lost = 0
     for raw in text.split("\n"):
-        h = seen.get(raw)
-        again = h is not None
+        places = seen.get(raw)
+        again = places is not None
         if not again:
-            h = seen[raw] = word_hashes(raw)
-        whole.append(h)
+            places = seen[raw] = word_places(raw)
+        whole += places
         line = raw.strip()
         if not line:
             continue
         n += 1
         repeated += again
         chars += len(line)
-        if again or fails(line, len(h)):
+        if again or fails(line, len(places)):
             lost += len(line)
         else:
-            kept.append(h)
-    parts = [p.strip() for p in re.split(r"\r?\n[ \t]*\r?\n", text)]
+            kept += places
+    parts = [p.strip() for p in PARAGRAPHS.split(text)] if n > 1 else [text.strip()] * n
     parts = [p for p in parts if p]
-    counts = []
-    for x in (whole, kept):
-        s = sequence_hashes(np.concatenate(x) if x else np.empty(0, np.uint64), WORDS)
-        counts += [len(s), len(np.unique(s))]
-    return (sum(map(len, whole)), counts[0], counts[1], n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, counts[2], counts[3])
+    s = sequence_hashes(hashes_at(whole), WORDS)
+    counts = (len(s), len(np.unique(s)))
+    after = counts
+    if lost:
+        s = sequence_hashes(hashes_at(kept), WORDS)
+        after = (len(s), len(np.unique(s)))
+    return (len(whole), *counts, n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, *after)
 
 
 def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
