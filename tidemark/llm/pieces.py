@@ -25,8 +25,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from tidemark.plans.tables import spread
-
 #: Boundaries by rising strength; a cut goes to the end of the match.
 BOUNDARIES = (
     (1, re.compile(r"[-/_|]")),
@@ -37,7 +35,7 @@ BOUNDARIES = (
     (6, re.compile(r"(?:\r?\n[ \t]*){2,}")),
 )
 #: Positions before these never are boundaries: combining characters, joiners, selectors.
-TIED = re.compile("[̀-ͯ҃-҉֑-ֽً-़ٟा-्ัิ-ฺ‍⃐-⃿゙゚︀-️\U0001f3fb-\U0001f3ff]|(?<=\r)\n|(?<=‍).", re.S)
+TIED = re.compile("[\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u093c\u093e-\u094d\u0e31\u0e34-\u0e3a\u200d\u20d0-\u20ff\u3099\u309a\ufe00-\ufe0f\U0001f3fb-\U0001f3ff]|(?<=\r)\n|(?<=\u200d).", re.S)
 BLOCK = 1 << 16
 PLACE = 40
 
@@ -132,5 +130,5 @@ def split(df: DataFrame, text: str, carried: list[str], limit: int = 320, overla
                 made = [pa.array(c, f.type) for c, f in zip(zip(*cols) if cols else [()] * 5, kinds)]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(of, pa.int32())), *made], ["carried", *kinds.names])
 
-    found = spread(rows).mapInArrow(run, out)
+    found = rows.mapInArrow(run, out)
     return found.select(*(F.col("carried")[c].alias(c) for c in carried), F.col("p_piece").alias("piece"), F.col("p_content").alias("content"), F.col("p_tokens").alias("token_count"), F.col("p_start").alias("char_start"), F.col("p_end").alias("char_end"))
