@@ -151,3 +151,12 @@ def test_consolidation(spark):
     assert (r.members, r.sources, r.valid_from, r.first_assertion_id) == (3, 2, D(0), "a0")
     assert r.confidence == pytest.approx(0.8 * (0.6 + 0.25 * (1 - 0.6**3) + 0.15 * (1 - 0.5**2)))
     assert memory.not_yet_derived(memory.consolidate(df), df.filter("object_key = 'k'")).count() == 0
+
+
+def test_as_of_join_of_a_hot_key_over_many_stretches(spark):
+    rng = random.Random(3)
+    left = [(rng.choice(["hot", "hot", "x"]), D(0) + timedelta(hours=rng.randrange(2000)), i) for i in range(300)]
+    right = [(rng.choice(["hot", "hot", "x", "y"]), D(0) + timedelta(hours=rng.randrange(2000)), f"r{i:03d}") for i in range(60)]
+    got = {r.v: r.right_id for r in asof.as_of_join(spark.createDataFrame(left, "key string, t timestamp_ntz, v int"), spark.createDataFrame(right, "key string, at timestamp_ntz, id string"), ["key"], "t", "at", "id").collect()}
+    want = {v: max(((at, i) for k2, at, i in right if k2 == k and at <= t), default=(None, None))[1] for k, t, v in left}
+    assert got == want

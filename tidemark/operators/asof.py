@@ -9,8 +9,9 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import datetime
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions import intervals, ordering
@@ -130,22 +131,30 @@ def trusted(claims: DataFrame, requests: DataFrame, sources: DataFrame, floor: s
     return from_sources(claims, requests.join(good, "source_id", "left_semi"))
 
 
-def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, ties: str) -> DataFrame:
+def as_of_join(left: DataFrame, right: DataFrame, keys: list[str], left_time: str, right_time: str, ties: str, stretch_seconds: int = 86_400) -> DataFrame:
     """Each left row with the latest right row of its keys at or before its time; left rows without one keep nulls.
 
-    Both sides become one stream per key, ordered by time, over which the last right row is carried forward: one shuffle
-    and no product of rows. Of right rows at one time the greatest ``ties`` is the latest. Right columns other than the
-    keys get the prefix ``right_``. Rows with a null key or time match nothing.
+    Both sides become one stream per key and stretch of time, over which the last right row is carried forward; what a
+    stretch hands to later ones is carried over the stretches of a key, one row each. A key with a third of all rows is
+    thus spread over its stretches, and no product of rows is made. Of right rows at one time the greatest ``ties`` (as
+    text) is the latest. Right columns other than the keys get the prefix ``right_``. Rows with a null key or time match
+    nothing; repeated left rows stay.
     """
-    from pyspark.sql import Window
-
     carried = [c for c in right.columns if c not in keys]
-    r = right.dropna(subset=[*keys, right_time]).select(*keys, F.struct(*carried).alias("r"), F.lit(None).cast(left.select(F.struct("*")).schema[0].dataType).alias("l"), F.col(right_time).alias("t"), F.lit(0).alias("side"), F.col(ties).cast("string").alias("tie"))
-    rows = left.select(*keys, F.lit(None).cast(r.schema["r"].dataType).alias("r"), F.struct("*").alias("l"), F.col(left_time).alias("t"), F.lit(1).alias("side"), F.lit(None).cast("string").alias("tie"))
-    w = Window.partitionBy(*keys).orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
-    both = r.unionByName(rows).withColumn("r", F.last("r", ignorenulls=True).over(w)).filter("side = 1")
-    whole = [F.col(k).isNotNull() for k in keys] + [F.col("t").isNotNull()]
-    ok = whole[0]
-    for x in whole[1:]:
-        ok = ok & x
-    return both.select("l.*", *(F.when(ok, F.col("r")[c]).alias(f"right_{c}") for c in carried))
+    whole = [*(F.col(k).isNotNull() for k in keys), F.col(left_time).isNotNull()]
+    fit = reduce(lambda a, b: a & b, whole)
+    mine = left.select(F.struct("*").alias("l"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(left_time).alias("t"), fit.alias("fit"))
+    theirs = right.dropna(subset=[*keys, right_time]).select(F.struct(*carried).alias("r"), *(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), F.col(right_time).alias("t"), F.col(ties).cast("string").alias("tie"))
+    ks = [f"k{i}" for i in range(len(keys))]
+    none = lambda df, c: F.lit(None).cast(df.schema[c].dataType).alias(c)
+    rows = theirs.select("r", none(mine, "l"), *ks, "t", F.lit(0).alias("side"), "tie")
+    rows = rows.unionByName(mine.filter("fit").select(none(theirs, "r"), "l", *ks, "t", F.lit(1).alias("side"), F.lit(None).cast("string").alias("tie")))
+    rows = rows.withColumn("stretch", F.floor(F.unix_micros(F.col("t").cast("timestamp")) / (stretch_seconds * 1_000_000)))
+    inside = Window.partitionBy(*ks, "stretch").orderBy("t", "side", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    local = rows.withColumn("near", F.last("r", ignorenulls=True).over(inside)).filter("side = 1")
+    ends = rows.groupBy(*ks, "stretch").agg(F.max_by("r", F.when(F.col("side") == 0, F.struct("t", "tie"))).alias("end"))
+    before = Window.partitionBy(*ks).orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.select(*ks, "stretch", F.last("end", ignorenulls=True).over(before).alias("far"))
+    found = local.join(ends, [*ks, "stretch"]).select("l", F.coalesce("near", "far").alias("r"))
+    found = found.unionByName(mine.filter("not fit").select("l", none(theirs, "r")))
+    return found.select("l.*", *(F.col("r")[c].alias(f"right_{c}") for c in carried))
