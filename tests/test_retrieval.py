@@ -133,3 +133,10 @@ def test_filters_reach_the_scan(spark):
     pushed = next(x for x in plan.splitlines() if "PushedFilters" in x)
     schema = next(x for x in plan.splitlines() if "ReadSchema" in x)
     assert "recorded_at" in pushed and "object_key" not in schema
+
+
+def test_candidates_beyond_the_pool_come_out(spark):
+    rows = [("q", f"r{i}", "facts", float(i), 0.5, 0.5, 0.5, 0.5, 0.0, False, False, 5, [f"t{i}"], [], "", "", "") for i in range(5)]
+    df = spark.createDataFrame(rows, "query_id string, record_id string, section string, relevance double, confidence double, evidence double, temporal double, priority double, focus double, required boolean, disputed boolean, tokens int, terms array<string>, subjects array<string>, predicate string, slot string, object_key string")
+    got = {r.record_id: r.outcome for r in context.select(df, budget=100, pool=2).collect()}
+    assert got == {"r4": "chosen", "r3": "chosen", "r2": "beyond_pool", "r1": "beyond_pool", "r0": "beyond_pool"}
