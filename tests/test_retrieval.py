@@ -140,3 +140,13 @@ def test_candidates_beyond_the_pool_come_out(spark):
     df = spark.createDataFrame(rows, "query_id string, record_id string, section string, relevance double, confidence double, evidence double, temporal double, priority double, focus double, required boolean, disputed boolean, tokens int, terms array<string>, subjects array<string>, predicate string, slot string, object_key string")
     got = {r.record_id: r.outcome for r in context.select(df, budget=100, pool=2).collect()}
     assert got == {"r4": "chosen", "r3": "chosen", "r2": "beyond_pool", "r1": "beyond_pool", "r0": "beyond_pool"}
+
+
+def test_selection_reaches_every_candidate(spark):
+    # 900 alike claims of more merit than one of an unseen subject, which is the second choice all the same
+    rows = [("q", f"r{i:03}", "facts", 1.0, 0.5, 0.5, 0.5, 0.5, 0.0, False, False, 5, ["a", "b"], ["s"], "p", "", "") for i in range(900)]
+    rows.append(("q", "z", "facts", 0.9, 0.5, 0.5, 0.5, 0.5, 0.0, False, False, 5, ["c"], ["t"], "p2", "", ""))
+    df = spark.createDataFrame(rows, "query_id string, record_id string, section string, relevance double, confidence double, evidence double, temporal double, priority double, focus double, required boolean, disputed boolean, tokens int, terms array<string>, subjects array<string>, predicate string, slot string, object_key string")
+    got = {r.record_id: (r.outcome, r.place) for r in context.select(df, budget=100).collect()}
+    assert len(got) == 901 and got["r000"] == ("chosen", 0) and got["z"] == ("chosen", 1)
+    assert {o for i, (o, _) in got.items() if i not in ("r000", "z")} == {"redundant"}
