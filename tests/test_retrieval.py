@@ -150,3 +150,22 @@ def test_selection_reaches_every_candidate(spark):
     got = {r.record_id: (r.outcome, r.place) for r in context.select(df, budget=100).collect()}
     assert len(got) == 901 and got["r000"] == ("chosen", 0) and got["z"] == ("chosen", 1)
     assert {o for i, (o, _) in got.items() if i not in ("r000", "z")} == {"redundant"}
+
+
+def test_long_documents_get_every_retriever_s_vote(spark, tmp_path):
+    from tidemark.queries import retrieval
+
+    long = "the harbour ledger names Globex as owner " * 30
+    spark.createDataFrame([(1, long), (2, "nothing of that kind"), (5, "a ledger")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(50, "harbour ledger owner", "Globex"), (51, "nothing", "kind")], "item_id long, text string, answer string").write.parquet(f"{tmp_path}/eval_items.parquet")
+    for f in (retrieval.anchored_first, retrieval.diversified):
+        got = {(r.query_id, r.record_id): r.retrievers for r in f(spark, str(tmp_path)).collect()}
+        # the short one's lexical score is far below the best, so only its vector counts
+        assert len(long) > 900 and got == {(50, 1): 3, (50, 5): 1}, f
+
+
+def test_nearest_sparse(spark):
+    v = spark.createDataFrame([(1, 0, 1.0), (2, 0, 0.6), (2, 1, 0.8), (3, 1, -1.0), (4, 2, 1.0)], "record_id int, bucket int, weight double")
+    q = spark.createDataFrame([(10, 0, 1.0), (11, 1, 1.0)], "query_id int, bucket int, weight double")
+    got = sorted((r.query_id, r.rank, r.record_id, round(r.score, 9)) for r in search.nearest_sparse(v, q, 2).collect())
+    assert got == [(10, 1, 1, 1.0), (10, 2, 2, 0.6), (11, 1, 2, 0.8)]

@@ -127,3 +127,13 @@ def nearest(records: DataFrame, queries: DataFrame, k: int, least: float | None
         hits = top(hits.filter("score is not null and score <> 0"), k, F.round("score", 9).desc(), F.col("record_id"))
         out = hits if out is None else out.unionByName(hits)
     return out
+
+
+def nearest_sparse(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """``query_id``, ``record_id``, ``score``, ``rank``: the k records of greatest cosine similarity above zero, exactly.
+
+    records: record_id, bucket, weight; queries: query_id, bucket, weight; both of length one, as hashed embeddings are.
+    """
+    q = queries.select("query_id", "bucket", F.col("weight").alias("q"))
+    hits = records.join(q, "bucket").groupBy("query_id", "record_id").agg(F.sum(F.col("weight") * F.col("q")).alias("score"))
+    return top(hits.filter(F.round("score", 9) > 0), k, F.round("score", 9).desc(), F.col("record_id"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text, vectors
 from tidemark.operators import asof, context, fusion, graph, projection, resolve, search
-from tidemark.plans.tables import table
+from tidemark.plans.tables import spread, table
 from tidemark.queries.bindings import CLAIMS, ENTITIES, VALID, claims, entities, sourced
 
 QUERIES: dict = {}
@@ -185,6 +185,18 @@ _LEGS = _BM25 + """,
 _PLACED = "SELECT query_id, record_id, round(score, 6) AS score, retrievers, row_number() OVER (PARTITION BY query_id ORDER BY tail, round(score, 12) DESC, retrievers DESC, record_id)::INT AS position FROM %s"
 
 
+def _whole_legs(spark, d) -> DataFrame:
+    """Words, literal answers and hashed embeddings, each over all documents."""
+    q, docs = _asked(spark, d), _documents(spark, d)
+    answers = table(spark, d, "eval_items").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("answer").alias("query"))
+    lexical = search.top(search.bm25(docs, q), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
+    exact = search.top(search.exact(docs, answers), 40, F.round("score", 6).desc(), F.col("chars"), F.col("record_id")).withColumn("mode", F.lit("exact")).drop("chars")
+    asked = projection.hashed_embedding(q.select(F.col("query_id").alias("record_id"), F.col("query").alias("content"))).withColumnRenamed("record_id", "query_id")
+    vector = search.nearest_sparse(projection.hashed_embedding(spread(docs)), asked, 40).withColumn("mode", F.lit("vector"))
+    rows = lexical.unionByName(exact).unionByName(vector).withColumn("score", F.round("score", 6))
+    return rows.withColumn("stream", F.lit(0)).withColumn("surface", F.when(F.col("record_id") % 2 == 0, "chunk").otherwise("assertion")).withColumn("depth", (F.col("record_id") % 2).cast("int"))
+
+
 def _shown(fused: DataFrame) -> DataFrame:
     return fused.select("query_id", "record_id", _score("score"), "retrievers", "position")
 
@@ -206,13 +218,13 @@ def weak_tail_split(spark, d):
 
 @query()
 def diversified(spark, d):
-    return _shown(fusion.diversify(fusion.fuse(_legs(spark, d)), 10, 2))
+    return _shown(fusion.diversify(fusion.fuse(_whole_legs(spark, d)), 10, 2))
 
 
 @query()
 def anchored_first(spark, d):
     anchors = _anchors(spark, d).withColumnRenamed("term", "anchor")
-    return _shown(fusion.anchored_first(fusion.fuse(_legs(spark, d)), _documents(spark, d), anchors, 20))
+    return _shown(fusion.anchored_first(fusion.fuse(_whole_legs(spark, d)), _documents(spark, d), anchors, 20))
 
 
 # graph: suppliers supply parts, customers and suppliers belong to nations, nations to regions
