@@ -169,3 +169,14 @@ def test_nearest_sparse(spark):
     q = spark.createDataFrame([(10, 0, 1.0), (11, 1, 1.0)], "query_id int, bucket int, weight double")
     got = sorted((r.query_id, r.rank, r.record_id, round(r.score, 9)) for r in search.nearest_sparse(v, q, 2).collect())
     assert got == [(10, 1, 1, 1.0), (10, 2, 2, 0.6), (11, 1, 2, 0.8)]
+
+
+def test_threshold_search_keeps_all_and_orthogonal_vectors_count(spark, tmp_path):
+    from tidemark.queries import retrieval
+
+    spark.range(1, 1102).selectExpr("id as vec_id", "array(1f, 0f) as embedding", "0 as label").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = retrieval.vector_min_score(spark, str(tmp_path)).groupBy("query_id").agg(F.count("*").alias("n"), F.max("rank").alias("r")).collect()
+    assert len(got) == 22 and {(x.n, x.r) for x in got} == {(1101, 1101)}
+    v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "record_id int, embedding array<double>")
+    q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0])], "query_id int, query array<double>")
+    assert sorted((r.query_id, r.rank, r.record_id, r.score) for r in search.nearest(v, q, None, least=-0.5).collect()) == [(10, 1, 1, 1.0), (10, 2, 2, 0.0)]

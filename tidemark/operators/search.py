@@ -16,10 +16,11 @@ from tidemark.plans.tables import spread
 K1, B = 1.2, 0.75
 
 
-def top(hits: DataFrame, k: int, *order: Column) -> DataFrame:
-    """The first k hits of each query with their ``rank``."""
+def top(hits: DataFrame, k: int | None, *order: Column) -> DataFrame:
+    """The first k hits of each query, or all, with their ``rank``."""
     w = Window.partitionBy("query_id").orderBy(*order)
-    return hits.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    ranked = hits.withColumn("rank", F.row_number().over(w))
+    return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
 def postings(records: DataFrame) -> DataFrame:
@@ -108,15 +109,17 @@ def similar(names: DataFrame, queries: DataFrame, least: float = 0.55, common: i
     return scored.withColumn("score", text.jaccard(F.col("ag"), F.col("qg"))).filter(F.col("score") >= least).select("query_id", "record_id", "score")
 
 
-def nearest(records: DataFrame, queries: DataFrame, k: int, least: float | None = None, most_queries: int = 10_000) -> DataFrame:
-    """``query_id``, ``record_id``, ``score``, ``rank``: the k records of greatest cosine similarity, exactly.
+def nearest(records: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, most_queries: int = 10_000) -> DataFrame:
+    """``query_id``, ``record_id``, ``score``, ``rank``: the k records of greatest cosine similarity, exactly;
+    without k all, as of a threshold search with ``least``.
 
     records: record_id, embedding; queries: query_id, query (vector). The queries, checked to be at most ``most_queries``,
     go to every task and each record is scored once against them; partial top-k lists are cut per task (Spark's window
-    group limit) before the shuffle. More queries go in blocks of that size. Zero vectors and other lengths match nothing.
+    group limit) before the shuffle. More queries go in blocks of that size. Zero vectors and other lengths match nothing;
+    orthogonal ones only where ``least`` lets them.
     """
-    q = queries.select("query_id", vectors.normalized(F.col("query")).alias("q"))
-    a = records.select("record_id", vectors.normalized(F.col("embedding")).alias("a"))
+    q = queries.select("query_id", vectors.normalized(F.col("query")).alias("q")).filter(vectors.norm(F.col("q")) > 0)
+    a = records.select("record_id", vectors.normalized(F.col("embedding")).alias("a")).filter(vectors.norm(F.col("a")) > 0)
     blocks = max(1, -(-q.count() // most_queries))
     out = None
     for i in range(blocks):
@@ -124,7 +127,9 @@ def nearest(records: DataFrame, queries: DataFrame, k: int, least: float | None
         hits = a.join(F.broadcast(part), F.size("a") == F.size("q")).select("query_id", "record_id", vectors.dot(F.col("a"), F.col("q")).alias("score"))
         if least is not None:
             hits = hits.filter(F.col("score") >= least)
-        hits = top(hits.filter("score is not null and score <> 0"), k, F.round("score", 9).desc(), F.col("record_id"))
+        else:
+            hits = hits.filter("score <> 0")
+        hits = top(hits.filter("score is not null"), k, F.round("score", 9).desc(), F.col("record_id"))
         out = hits if out is None else out.unionByName(hits)
     return out
 

@@ -141,7 +141,7 @@ def vector_topk_filtered(spark, d):
 @query(_VEC + _ranked("(SELECT * FROM h WHERE score >= 0.3)", 1000))
 def vector_min_score(spark, d):
     records, q = _vectors(spark, d)
-    return search.nearest(records, q, 1000, least=0.3).select("query_id", "record_id", _score("score"), "rank")
+    return search.nearest(records, q, None, least=0.3).select("query_id", "record_id", _score("score"), "rank")
 
 
 @query(f"WITH e AS (SELECT vec_id, {_DOUBLE % 'embedding'} AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS m FROM e) SELECT vec_id, len(v)::INT AS size, (len(v) = 64) AS valid, round(m, 6) AS norm, round(list_sum(list_transform(v, lambda x: x / m)), 6) AS unit_sum FROM n")
