@@ -180,3 +180,9 @@ def test_threshold_search_keeps_all_and_orthogonal_vectors_count(spark, tmp_path
     v = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0]), (4, [-1.0, 0.0])], "record_id int, embedding array<double>")
     q = spark.createDataFrame([(10, [1.0, 0.0]), (11, [0.0, 0.0])], "query_id int, query array<double>")
     assert sorted((r.query_id, r.rank, r.record_id, r.score) for r in search.nearest(v, q, None, least=-0.5).collect()) == [(10, 1, 1, 1.0), (10, 2, 2, 0.0)]
+
+
+def test_canonical_long_chains_and_cycles(spark):
+    rows = [(f"c{i:03}", f"c{i + 1:03}" if i < 199 else None) for i in range(200)] + [(f"k{i:03}", f"k{(i + 1) % 150:03}") for i in range(150)] + [("l", "k100")]
+    got = {r.entity_id: r.canonical_id for r in graph.canonical(spark.createDataFrame(rows, "entity_id string, merged_into_id string")).collect()}
+    assert len(got) == 351 and {v for k, v in got.items() if k[0] == "c"} == {"c199"} and {v for k, v in got.items() if k[0] != "c"} == {"k000"}

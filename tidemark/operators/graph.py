@@ -29,29 +29,34 @@ def expand(edges: DataFrame, roots: DataFrame, depth: int = 2) -> DataFrame:
     return reduce(DataFrame.unionByName, levels[1:])
 
 
-def canonical(entities: DataFrame, rounds: int = 6) -> DataFrame:
+def canonical(entities: DataFrame) -> DataFrame:
     """``entity_id``, ``canonical_id``: where following merged_into_id ends.
 
-    Pointer doubling: after n rounds chains of 2 ** n are resolved; five or six cover the depth limit of 32. A pointer to an
-    entity that isn't there ends before it; the members of a cycle, which has no end, all get its least id.
+    Pointer doubling: after n rounds chains of 2 ** n are resolved. A pointer to an entity that isn't there ends before it;
+    the members of a cycle, which has no end, all get its least id. On a chain that isn't resolved yet fewer entities move
+    after each round; once as many move as before, all of them are on or before a cycle, and when the round lowered no least
+    id either, they have seen all of it.
     """
     spark = entities.sparkSession
     scratch = Scratch(spark)
     ids = entities.select("entity_id").dropna().distinct()
     to = entities.select("entity_id", F.col("merged_into_id").alias("to")).filter("to is not null and to <> entity_id").groupBy("entity_id").agg(F.max("to").alias("to"))
-    to = to.join(ids.select(F.col("entity_id").alias("to")), "to", "left_semi")
+    to = scratch.write(to.join(ids.select(F.col("entity_id").alias("to")), "to", "left_semi").select("entity_id", "to"))
+    ends = to.select(F.col("entity_id").alias("to")).withColumn("moves", F.lit(True))
     at = ids.join(to, "entity_id", "left").select("entity_id", F.coalesce("to", "entity_id").alias("to"), F.coalesce("to", "entity_id").alias("least"))
-    at = scratch.write(at)
-    for _ in range(rounds):
+    at = scratch.write(at.join(ends, "to", "left"))
+    moving = None
+    while True:
         far = at.select(F.col("entity_id").alias("to"), F.col("to").alias("further"), F.col("least").alias("other"))
-        new = at.join(far, "to").select("entity_id", F.col("further").alias("to"), F.least("least", "other").alias("least"))
-        new = scratch.write(new)
+        new = at.drop("moves").join(far, "to").select("entity_id", F.col("further").alias("to"), F.least("least", "other").alias("least"), (F.col("other") < F.col("least")).alias("lower"))
+        new = scratch.write(new.join(ends, "to", "left"))
         scratch.drop(at)
         at = new
-    ends = to.select(F.col("entity_id").alias("to")).distinct().withColumn("moves", F.lit(True))
-    # what still moves after all rounds is on or before a cycle; its members saw all of the cycle
-    out = at.join(ends, "to", "left")
-    return out.select("entity_id", F.when(F.col("moves"), F.col("least")).otherwise(F.col("to")).alias("canonical_id"))
+        before, (moving, lower) = moving, at.agg(F.count("moves"), F.count(F.when(F.col("moves") & F.col("lower"), 1))).first()
+        if not moving or moving == before and not lower:
+            break
+    # what still moves is on or before a cycle; its members saw all of the cycle
+    return at.select("entity_id", F.when(F.col("moves"), F.col("least")).otherwise(F.col("to")).alias("canonical_id"))
 
 
 def merge_would_cycle(canonicals: DataFrame, merges: DataFrame) -> DataFrame:
