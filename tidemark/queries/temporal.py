@@ -220,14 +220,55 @@ def reconcile_fold_latest_wins(spark, d):
     return reconcile.reconcile(rows).select(F.col("id").cast("long").alias("event_id"), "superseded_at")
 
 
-@query()
+# the fold in SQL: a step per arrival, the state of a slot being the list of its claims so far
+_SIGN = "CASE WHEN {0} > {1} THEN 1 WHEN {0} < {1} THEN -1 ELSE 0 END"
+_ORDER = f"""CASE WHEN o.src <> c.src OR o.src IS NULL THEN NULL
+  WHEN c.seq IS NOT NULL AND o.seq IS NOT NULL THEN CASE WHEN c.num AND o.num THEN CASE WHEN length(c.bare) <> length(o.bare) THEN {_SIGN.format('length(c.bare)', 'length(o.bare)')} ELSE {_SIGN.format('c.bare', 'o.bare')} END ELSE {_SIGN.format('c.seq', 'o.seq')} END
+  WHEN c.ct IS NOT NULL AND o.ct IS NOT NULL THEN {_SIGN.format('c.ct', 'o.ct')} END"""
+_FOLD = f"""WITH RECURSIVE {SOURCED},
+ ar AS (
+  SELECT [graph_space_id, subject_id, predicate_name] AS slot, assertion_id AS id, object_key AS v, coalesce(valid_from, TIMESTAMP '0001-01-01') AS lo, coalesce(valid_to, TIMESTAMP '9999-12-31') AS hi, recorded_at AS rec,
+    source_id AS src, source_request_id AS req, nullif(source_sequence, '') AS seq, coalesce(regexp_full_match(source_sequence, '[0-9]+'), false) AS num, ltrim(source_sequence, '0') AS bare, source_commit_time AS ct,
+    CASE trust_level WHEN 'untrusted' THEN 1 WHEN 'low' THEN 2 WHEN 'standard' THEN 3 WHEN 'high' THEN 4 WHEN 'authoritative' THEN 5 ELSE 0 END AS pw, operation = 'correction' AS corrects,
+    CASE WHEN predicate_name = 'contract_tier' THEN 'authority' WHEN predicate_name IN ('seat_limit', 'support_region') THEN 'latest' ELSE 'conflict' END AS rule
+  FROM sc WHERE memory_kind = 'semantic'),
+ arrived AS (SELECT *, row_number() OVER (PARTITION BY slot ORDER BY rec, id) AS n FROM (SELECT DISTINCT * FROM ar)),
+ walk AS (
+  SELECT DISTINCT slot, 0::BIGINT AS n, []::STRUCT(id VARCHAR, v VARCHAR, lo TIMESTAMP, hi TIMESTAMP, src VARCHAR, req VARCHAR, seq VARCHAR, num BOOLEAN, bare VARCHAR, ct TIMESTAMP, pw INTEGER, cs VARCHAR, sup_at TIMESTAMP, sup_by VARCHAR, st VARCHAR)[] AS state FROM arrived
+  UNION ALL
+  SELECT slot, n, list_append(list_transform(state, lambda o: CASE
+      WHEN list_contains(gone, o.id) THEN struct_update(o, st := 'superseded', sup_at := rec, sup_by := id)
+      WHEN names IS NOT NULL AND list_contains(against, o.id) THEN struct_update(o, st := 'disputed', cs := coalesce(o.cs, names)) ELSE o END),
+    {{'id': id, 'v': v, 'lo': lo, 'hi': hi, 'src': src, 'req': req, 'seq': seq, 'num': num, 'bare': bare, 'ct': ct, 'pw': pw, 'cs': names, 'sup_at': CASE WHEN late IS NOT NULL THEN rec END, 'sup_by': late,
+      'st': CASE WHEN late IS NOT NULL THEN 'superseded' WHEN names IS NOT NULL THEN 'disputed' ELSE 'active' END}})
+  FROM (
+   SELECT *, CASE WHEN late IS NULL AND NOT wins AND len(against) > 0 THEN coalesce(list_filter(list_transform(rest, lambda o: o.cs), lambda x: x IS NOT NULL)[1], 'conflict:' || list_min(list_append(against, id))) END AS names,
+     list_concat(CASE WHEN late_own IS NULL THEN own_ids ELSE [] END, CASE WHEN late IS NULL THEN earlier ELSE [] END, CASE WHEN late IS NULL AND wins THEN against ELSE [] END) AS gone
+   FROM (
+    SELECT *, coalesce(late_own, late_rival) AS late, list_transform(rest, lambda o: o.id) AS against, rule = 'latest' OR rule = 'authority' AND len(list_filter(rest, lambda o: o.pw >= pw)) = 0 AS wins
+    FROM (
+     SELECT *, list_filter(own, lambda o: o.way = -1)[1].id AS late_own, list_filter(rivals, lambda o: o.way = -1)[1].id AS late_rival, list_transform(list_filter(rivals, lambda o: o.way = 1), lambda o: o.id) AS earlier, list_filter(rivals, lambda o: coalesce(o.way, 0) <> 1) AS rest
+     FROM (
+      SELECT *, list_filter(able, lambda o: o.v <> v AND o.lo < hi AND lo < o.hi AND o.lo < o.hi AND lo < hi AND NOT list_contains(own_ids, o.id)) AS rivals
+      FROM (
+       SELECT *, list_transform(own, lambda o: o.id) AS own_ids
+       FROM (
+        SELECT *, list_filter(able, lambda o: corrects AND o.src = src AND o.req <> req) AS own
+        FROM (
+         SELECT c.*, state, list_transform(list_filter(state, lambda o: o.st IN ('active', 'disputed')), lambda o: struct_insert(o, way := {_ORDER})) AS able
+         FROM walk JOIN arrived c ON c.slot = walk.slot AND c.n = walk.n + 1))))))))
+"""
+
+
+@query(_FOLD + """SELECT o.id AS assertion_id, o.st AS status, o.sup_at AS superseded_at, o.sup_by AS superseded_by, o.cs AS conflict_set
+ FROM (SELECT unnest(state) AS o FROM (SELECT slot, arg_max(state, n) AS state FROM walk GROUP BY slot))""")
 def reconcile_claims(spark, d):
     """The assertions reconciled from the start, by sources' authority for contract tiers, else latest or conflict."""
     rows = sourced(spark, d).filter("memory_kind = 'semantic'")
     rule = F.when(F.col("predicate_name") == "contract_tier", "highest_authority").when(F.col("predicate_name").isin("seat_limit", "support_region"), "latest_wins").otherwise("conflict")
     found = reconcile.reconcile(rows.select(
         F.to_json(F.array("graph_space_id", "subject_id", "predicate_name")).alias("slot"), F.col("assertion_id").alias("id"), "object_key", "valid_from", "valid_to", "recorded_at", F.col("source_id").alias("source"),
-        F.col("source_sequence").alias("sequence"), F.col("source_commit_time").alias("commit_time"), F.col("trust_level").alias("trust"), rule.alias("policy"), "operation", F.lit("active").alias("status"),
+        F.col("source_sequence").alias("sequence"), F.col("source_commit_time").alias("commit_time"), F.col("trust_level").alias("trust"), rule.alias("policy"), "operation", F.lit("active").alias("status"), F.col("source_request_id").alias("request"),
     ))
     return found.select(F.col("id").alias("assertion_id"), "status", "superseded_at", "superseded_by", "conflict_set")
 

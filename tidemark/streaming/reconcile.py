@@ -15,16 +15,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from tidemark.operators.reconcile import FIELDS, RESULT, Slot
+from tidemark.operators.reconcile import RESULT, Slot, arrivals
 
 
 def _pack(slot: Slot) -> str:
-    return json.dumps([{k: {"t": v.isoformat()} if isinstance(v, datetime) else v for k, v in c.items()} for c in slot.open])
+    return json.dumps([{k: {"t": v.isoformat()} if isinstance(v, datetime) else v for k, v in c.items() if k != "n"} for c in slot.open])
 
 
 def _unpack(text: str) -> Slot:
     slot = Slot()
-    slot.open = [{k: datetime.fromisoformat(v["t"]) if isinstance(v, dict) else v for k, v in c.items()} for c in json.loads(text)]
+    slot.restore([{k: datetime.fromisoformat(v["t"]) if isinstance(v, dict) else v for k, v in c.items()} for c in json.loads(text)])
     return slot
 
 
@@ -32,8 +32,7 @@ def reconcile_stream(claims: DataFrame) -> DataFrame:
     """Append rows with a claim's standing whenever it changes: the last row of an id holds. Input: the batch fold's columns."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-    wanted = StructType.fromDDL(FIELDS)
-    rows = claims.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in wanted)).filter("slot is not null")
+    rows = arrivals(claims).filter("slot is not null")
     names = [f.name for f in StructType.fromDDL(RESULT)]
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
