@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tidemark.operators.periods import IntervalList, gaps, of_slots, periods, slot_intervals
+from tidemark.operators.periods import IntervalList, Tree, gaps, of_slots, periods, slot_intervals
 
 T = datetime(2020, 1, 1)
 SCHEMA = "s string, p string, a timestamp_ntz, b timestamp_ntz, lo string"
@@ -69,3 +69,42 @@ def test_hot_slots_cut_by_partitions(spark):
         want = {s: brute([(a, b) for x, _, a, b in rows if x == s]) for s in {r[0] for r in rows}}
         assert q == sorted([(s, "p", a, b) for s, x in want.items() for a, b in x], key=str)
         assert g == sorted((s, "p", x[1], y[0]) for s, w in want.items() for x, y in zip(w, w[1:]))
+
+
+def test_slots_beyond_the_limit_are_cut_by_time(spark):
+    rng = random.Random(11)
+    rows = []
+    for s, n in (("a", 3), ("hot", 400), ("long", 120), ("z", 1)):
+        for _ in range(n):
+            a = rng.randrange(2000)
+            rows.append((s, a, a + rng.choice([1, 2, 3, 700 if s == "long" else 40])))
+    rows += [("hot", None, 5), ("hot", 1990, None)]
+    df = spark.createDataFrame([(s, "p", day(a), day(b), "x") for s, a, b in rows], SCHEMA).repartition(6)
+    iv = slot_intervals(df, {"s": "s"}, "a", "b")
+    far = lambda a, b: (-(10**6) if a is None else a, 10**6 if b is None else b)
+    want = {s: brute([far(a, b) for x, a, b in rows if x == s]) for s in {r[0] for r in rows}}
+    n = lambda t, none: none if t is None else (t - T).days
+    for limit in (5, 30, 10**6):
+        got = sorted((r.s, n(r.period_from, -(10**6)), n(r.period_to, 10**6)) for r in periods(iv, ["s"], limit).collect())
+        assert got == sorted((s, a, b) for s, x in want.items() for a, b in x)
+        got = sorted((r.s, n(r.gap_from, None), n(r.gap_to, None)) for r in gaps(iv, ["s"], limit).collect())
+        assert got == sorted((s, x[1], y[0]) for s, w in want.items() for x, y in zip(w, w[1:]))
+
+
+def test_many_named_slots_join_lists(spark):
+    df = spark.createDataFrame([(s, "p", day(a), day(b), "x") for s, a, b in [("a", 0, 1), ("a", 3, 4), ("b", 0, 1), ("b", 2, 3)]], SCHEMA)
+    iv = slot_intervals(df, {"s": "s"}, "a", "b")
+    named = spark.createDataFrame([("a",), ("a",), (None,), ("q",)], "s string")
+    for few in (0, 10):
+        got = [(r.s, (r.gap_from - T).days, (r.gap_to - T).days) for r in gaps(of_slots(iv, named, ["s"], few), ["s"]).collect()]
+        assert got == [("a", 1, 3)]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(pairs, max_size=9))
+def test_the_tree_gives_one_list(lists):
+    tree = Tree()
+    for x in lists:
+        tree.add(IntervalList(x))
+    assert tree.root().pairs == brute([p for x in lists for p in x])
+    assert all(len(b) * 2 < len(a) for a, b in zip(tree.levels, tree.levels[1:]))
