@@ -3,7 +3,8 @@
 Keys are event-time slots, values are counts (any commutative monoid with ``+`` would do). The finger is the rightmost
 leaf. Totals are kept at every node that isn't on the right spine; an insert near the end touches the finger leaf only,
 a late one climbs from the finger to the first spine node that covers its key and corrects the totals on the way down,
-so its cost is logarithmic in its distance from the end. ``evict`` cuts whole subtrees below a key.
+so its cost is logarithmic in its distance from the end. ``evict`` cuts whole subtrees below a key; ``admit``
+refuses what lies there from then on.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ class _Node:
 class FingerTree:
     def __init__(self) -> None:
         self.root = self.finger = _Node([], [], None)
+        self.bound: int | None = None
 
     @property
     def empty(self) -> bool:
@@ -49,6 +51,13 @@ class FingerTree:
             else:
                 todo.extend(reversed(n.kids))
 
+    def admit(self, key: int, value: int) -> bool:
+        """Add, unless the key lies in the evicted part; whether it was added."""
+        if self.bound is not None and key < self.bound:
+            return False
+        self.add(key, value)
+        return True
+
     def add(self, key: int, value: int) -> None:
         n = self.finger
         if not n.keys or key >= n.keys[0] or n.parent is None:
@@ -128,6 +137,7 @@ class FingerTree:
     def evict(self, before: int) -> None:
         """Drop all keys below ``before``: whole subtrees at once, then one path is trimmed."""
         n, path = self.root, []
+        self.bound = before if self.bound is None else max(self.bound, before)
         while n.kids is not None:
             at = max(0, bisect_right(n.keys, before) - 1)
             del n.kids[:at], n.keys[:at]

@@ -21,6 +21,10 @@ def p1_daily_counts(spark: SparkSession, d: str) -> DataFrame:
     return late_events.period_counts(table(spark, d, "ingest_events"), "source_id", "idempotency_key", "event_time", _arrival())
 
 
+def p1_corrections(spark: SparkSession, d: str) -> DataFrame:
+    return late_events.corrections(table(spark, d, "ingest_events"), "source_id", "idempotency_key", "event_time", _arrival())
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     state = change_feed.current_state(table(spark, d, "change_events"), "stream_name", "record_key", "operation", "source_sequence")
     return state.select(F.col("stream").alias("stream_name"), "record_id", "source_sequence")
@@ -68,7 +72,7 @@ def p6_known_attributes(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d).select(F.col("event_id").alias("event_claim_id"), F.col("attribute").alias("predicate_name"), F.col("claim_id").alias("known_claim_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_daily_counts, p3_found, p3_state, p5_found, p5_periods, p6_found, p6_known_attributes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_daily_counts, p1_corrections, p3_found, p3_state, p5_found, p5_periods, p6_found, p6_known_attributes)}
 
 _EVENTS = """
 WITH ev AS (
@@ -119,6 +123,11 @@ SQL = {
     "p1_daily_counts": _EVENTS + f"""
       SELECT source_id, date_trunc('day', happened)::TIMESTAMP AS period_start, count(*) AS events
       FROM ev WHERE happened IS NOT NULL AND arrived IS NOT NULL AND NOT ({_LATE}) GROUP BY 1, 2""",
+    "p1_corrections": _EVENTS + f""",
+      ok AS (SELECT source_id, date_trunc('day', happened)::TIMESTAMP AS period_start, arrived FROM ev WHERE happened IS NOT NULL AND arrived IS NOT NULL AND NOT ({_LATE})),
+      tick AS (SELECT source_id, period_start, greatest(period_start + INTERVAL 1 DAY, CASE WHEN arrived = date_trunc('day', arrived) THEN arrived ELSE date_trunc('day', arrived) + INTERVAL 1 DAY END)::TIMESTAMP AS published_at, count(*) AS n FROM ok GROUP BY 1, 2, 3),
+      cum AS (SELECT *, sum(n) OVER (PARTITION BY source_id, period_start ORDER BY published_at) AS upto FROM tick)
+      SELECT source_id, period_start, published_at, (upto - n)::BIGINT AS old_events, upto::BIGINT AS new_events FROM cum""",
     "p3_found": _FEED + "SELECT stream_name, record_id, source_sequence FROM ranked WHERE n = 1 AND op <> 'delete'",
     "p3_state": _FEED + "SELECT stream_name, record_id, source_sequence, after_image FROM ranked WHERE n = 1 AND op <> 'delete'",
     "p5_found": _COVER + """
