@@ -129,3 +129,38 @@ def test_lines_hash_like_the_whole():
     for _ in range(50):
         text = "".join(rng.choice("ab é\n\ŕ ") for _ in range(60))
         assert repetition._measure(text)[0] == len(plain_words(text))
+
+
+def test_lines_add_up_to_the_whole():
+    rng = random.Random(8)
+    for _ in range(200):
+        text = "".join(rng.choice(["all of it ", "one two three four five ", "six. ", "seven! ", "\n", " \n\n", "。", "eight | nine "]) for _ in range(rng.randrange(60)))
+        m = dict(zip([x.split()[0] for x in repetition.SCHEMA.split(", ")][1:], repetition._measure(text)))
+        g = grams(text)
+        assert (m["sequences"], m["different_sequences"]) == (len(g), len(set(g)))
+        assert m["kept_line_sequences"] + m["lost_line_sequences"] == len(g)
+        assert m["kept_line_repeats"] + m["lost_line_repeats"] == len(g) - len(set(g))
+
+
+def test_boilerplate_comes_from_the_corpus(spark):
+    rows = [(i, f"Document {i} tells of matter {i * 7} here.\nAlle Rechte vorbehalten\nImpressum und mehr") for i in range(40)] + [(99, "Alle Rechte vorbehalten"), (100, None)]
+    df = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    common = repetition.common_lines(df)
+    assert common == {repetition.line_hash("alle rechte vorbehalten"), repetition.line_hash("impressum und mehr")}
+    got = {r.id: r for r in repetition.repetition(df).collect()}
+    assert got[99].rejected and not got[100].rejected and got[0].boilerplate_share == 2 / 3
+    assert repetition.common_lines(df.limit(0)) == frozenset()
+
+
+def test_planted_repetition_is_removed(spark):
+    rng = random.Random(12)
+    words_ = [f"w{i}" for i in range(400)]
+    said = lambda n: " ".join(rng.choice(words_) for _ in range(n)) + "."
+    rows = []
+    for i in range(60):
+        again = said(12)
+        own = [said(12) for _ in range(6)]
+        rows.append((i, " ".join([*own, *[again] * 14]) if i % 3 == 0 else "\n".join([*own, *[again] * 14]) if i % 3 == 1 else "\n".join(own)))
+    got = {r.id: r for r in repetition.repetition(spark.createDataFrame(rows, "id long, text string")).collect()}
+    assert all(got[i].rejected == (i % 3 != 2) == (got[i].repeated_share >= 0.3) for i in range(60))
+    assert all(got[i].kept_repeated_share < 0.3 for i in range(60))

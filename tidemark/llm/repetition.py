@@ -1,11 +1,16 @@
 """Repetition inside single documents, line first.
 
-Each line is judged by itself: navigation (short, link marks), boilerplate (notices of the kind every page carries),
-punctuation (long prose without any end mark), repetition (the same line was there before). Failing lines are removed; a
-document that loses more than ``most_lost`` of its characters is rejected. A line's words are hashed once per different
-line of the document, then the sequences of five words are counted over the whole text, lines joined, and again over what
-is left after cleaning. The share that TESTDATA.md defines is over the whole text, which line rules alone can't give: it
-comes from these counts, in the same pass.
+A text is cut into lines, and a line of more than ``LONG`` words into its sentences, each a line then. Every line is judged by
+itself: navigation (short, link marks), boilerplate (a line that many documents of the corpus carry), punctuation (long prose
+without any end mark), repetition (most of its sequences of five words were said before; of a line too short for any, the line
+itself). Failing lines are removed; a document that loses more than ``most_lost`` of its characters is rejected.
+
+A sequence belongs to the line it starts in, also where it runs on over line ends; each line has the number of its sequences
+and of those said before. The share that TESTDATA.md defines, over the whole text, is the sum over kept and removed lines.
+
+Boilerplate is taken from the corpus: the lines (in lower case, without outer white space) that at least ``COMMON`` of its
+documents and ``LEAST`` of them carry. There are no more of them than a thousand times the mean number of lines of a document,
+which bounds what is sent to the workers.
 
 Defined cases: null and empty texts and those of fewer than five words have no sequences and a share of null; blank lines
 are neither judged nor counted; rows without an id are ignored; one row per id and text. Other columns, whatever their
@@ -19,95 +24,153 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import hashes_at, renew, sequence_hashes, word_places
 from tidemark.plans.tables import spread
 
-WORDS = 5
+WORDS, LONG = 5, 30
+COMMON, LEAST = 0.001, 20
 LINKS = re.compile(r"[|»«›‹>→•·/]")
 PARAGRAPHS = re.compile(r"\r?\n[ \t]*\r?\n")
+SENTENCES = re.compile(r"(?<=[.!?…])\s+|(?<=[。！？])")
 ENDS = tuple(".!?…:;\"'”’)]}。！？」』、")
-#: Notices that pages carry, lower case. Fixed list.
-NOTICES = (
-    "all rights reserved", "terms of use", "terms of service", "privacy policy", "cookie", "subscribe", "sign in", "sign up", "log in", "login",
-    "click here", "read more", "javascript", "follow us", "share this",
-)
 SCHEMA = (
     "id long, n_words long, sequences long, different_sequences long, lines long, repeated_lines long, paragraphs long, "
-    "repeated_paragraphs long, chars long, lost_chars long, kept_sequences long, kept_different_sequences long"
+    "repeated_paragraphs long, chars long, lost_chars long, kept_sequences long, kept_different_sequences long, "
+    "kept_line_sequences long, kept_line_repeats long, lost_line_sequences long, lost_line_repeats long, boilerplate_lines long"
 )
 
 
 def fails(line: str, words: int) -> bool:
-    """Whether a line by itself is navigation, boilerplate or unpunctuated prose."""
+    """Whether a line by itself is navigation or unpunctuated prose."""
     if words == 0:
         return True
-    if words > 30 and not line.endswith(ENDS):
+    if words > LONG and not line.endswith(ENDS):
         return True
     links = len(LINKS.findall(line))
-    if links > words or words <= 8 and links >= 2:
-        return True
-    if words > 20:
-        return False
-    low = line.lower()
-    return any(n in low for n in NOTICES)
+    return links > words or words <= 8 and links >= 2
+
+
+def line_hash(line: str) -> int:
+    """Of a line without outer white space, as a signed number."""
+    return (xxhash.xxh64_intdigest(line.lower()) + 2**63) % 2**64 - 2**63
+
+
+def common_lines(documents: DataFrame, share: float = COMMON, least: int = LEAST) -> frozenset[int]:
+    """Hashes of the lines that at least ``share`` and ``least`` of the documents (``id``, ``text``) carry."""
+    texts = documents.filter("id is not null and text is not null").select("text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[tuple] = []
+        held: list[int] = []
+
+        def fold() -> None:
+            h, n = np.unique(np.array(held, np.int64), return_counts=True)
+            parts.append((h, n))
+            held.clear()
+            if len(parts) > 8:
+                h, at = np.unique(np.concatenate([x for x, _ in parts]), return_inverse=True)
+                n = np.bincount(at, np.concatenate([x for _, x in parts])).astype(np.int64)
+                parts[:] = [(h, n)]
+
+        for b in batches:
+            for t in b.column(0):
+                held.extend({line_hash(x) for line in t.as_py().split("\n") if (x := line.strip())})
+                if len(held) > 1_000_000:
+                    fold()
+        fold()
+        for h, n in parts:
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n)], ["line", "n"])
+
+    most = max(least, share * texts.count())
+    counts = texts.mapInArrow(count, "line long, n long").groupBy("line").agg(F.sum("n").alias("n")).filter(F.col("n") >= most)
+    return frozenset(counts.select("line").toArrow().column("line").to_pylist())
 
 
-def _measure(text: str) -> tuple[int, ...]:
+def _lines(text: str) -> Iterator[tuple[str, list[int], bool]]:
+    """Each line without outer white space, the places of its words, and whether the same line was there before."""
+    seen: dict[str, list[tuple[str, list[int]]]] = {}
+    for raw in text.split("\n"):
+        known = seen.get(raw)
+        if known is None:
+            line, places = raw.strip(), word_places(raw)
+            known = [(line, places)]
+            if len(places) > LONG and len(parts := [s for s in SENTENCES.split(line) if s]) > 1:
+                known = [(s, word_places(s)) for s in parts]
+            seen[raw] = known
+            yield from ((line, places, False) for line, places in known)
+        else:
+            yield from ((line, places, True) for line, places in known)
+
+
+def _measure(text: str, common: frozenset[int] = frozenset()) -> tuple[int, ...]:
     renew()
-    seen: dict[str, list[int]] = {}
-    whole: list[int] = []
+    lines = list(_lines(text))
+    whole = [p for _, places, _ in lines for p in places]
+    s = sequence_hashes(hashes_at(whole), WORDS)
+    again = np.ones(len(s), np.int64)
+    again[np.unique(s, return_index=True)[1]] = 0
+    said = np.concatenate([[0], np.cumsum(again)]).tolist()
     kept: list[int] = []
-    n = repeated = chars = lost = 0
-    for raw in text.split("\n"):
-        places = seen.get(raw)
-        again = places is not None
-        if not again:
-            places = seen[raw] = word_places(raw)
-        whole += places
-        line = raw.strip()
+    n = repeated = chars = lost = boilerplate = at = 0
+    sums = [[0, 0], [0, 0]]  # sequences and repeats of kept, of removed lines
+    for line, places, before in lines:
+        a, b = min(at, len(s)), min(at + len(places), len(s))
+        at += len(places)
         if not line:
             continue
         n += 1
-        repeated += again
+        repeated += before
         chars += len(line)
-        if again or fails(line, len(places)):
+        of, repeats = b - a, said[b] - said[a]
+        known = bool(common) and line_hash(line) in common
+        boilerplate += known
+        gone = fails(line, len(places)) or known or (2 * repeats > of if of else before)
+        sums[gone][0] += of
+        sums[gone][1] += repeats
+        if gone:
             lost += len(line)
         else:
             kept += places
     parts = [p.strip() for p in PARAGRAPHS.split(text)] if n > 1 else [text.strip()] * n
     parts = [p for p in parts if p]
-    s = sequence_hashes(hashes_at(whole), WORDS)
-    counts = (len(s), len(np.unique(s)))
-    after = counts
+    after = counts = (len(s), len(s) - said[-1])
     if lost:
-        s = sequence_hashes(hashes_at(kept), WORDS)
-        after = (len(s), len(np.unique(s)))
-    return (len(whole), *counts, n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, *after)
+        k = sequence_hashes(hashes_at(kept), WORDS)
+        after = (len(k), len(np.unique(k)))
+    return (len(whole), *counts, n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, *after, *sums[0], *sums[1], boilerplate)
 
 
-def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = [x.strip().split()[0] for x in SCHEMA.split(",")]
-    for b in batches:
-        rows = [(i, *_measure(t.as_py() or "")) for i, t in zip(b.column(0).to_pylist(), b.column(1))]
-        cols = list(zip(*rows)) or [()] * len(names)
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+def repetition(documents: DataFrame, most_lost: float = 0.5, common: frozenset[int] | None = None) -> DataFrame:
+    """One row per document (``id``, ``text``): counts, ``repeated_share`` of the whole text, ``lost_share``, ``rejected``.
 
-
-def repetition(documents: DataFrame, most_lost: float = 0.5) -> DataFrame:
-    """One row per document (``id``, ``text``): counts, ``repeated_share`` of the whole text, ``lost_share``, ``rejected``."""
-    share = lambda part, all_: F.when(F.col(all_) > 0, F.col(part) / F.col(all_))
-    found = spread(documents.filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")).mapInArrow(_run, SCHEMA)
+    ``common`` are the boilerplate lines, those of these documents if not given.
+    """
+    names = [x.strip().split()[0] for x in SCHEMA.split(",")]
+    shared = documents.sparkSession.sparkContext.broadcast(common_lines(documents) if common is None else common)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(i, *_measure(t.as_py() or "", shared.value)) for i, t in zip(b.column(0).to_pylist(), b.column(1))]
+            cols = list(zip(*rows)) or [()] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names)
+
+    share = lambda part, all_: F.when(all_ > 0, part / all_)
+    found = spread(documents.filter("id is not null").select(F.col("id").cast("long").alias("id"), "text")).mapInArrow(run, SCHEMA)
+    c = F.col
+    lost = share(c("lost_chars"), c("chars"))
     return found.select(
         "id", "n_words", "sequences", "different_sequences",
-        F.when(F.col("sequences") > 0, (F.col("sequences") - F.col("different_sequences")) / F.col("sequences")).alias("repeated_share"),
-        share("repeated_lines", "lines").alias("repeated_line_share"),
-        share("repeated_paragraphs", "paragraphs").alias("repeated_paragraph_share"),
-        share("lost_chars", "chars").alias("lost_share"),
-        F.coalesce(share("lost_chars", "chars") > most_lost, F.lit(False)).alias("rejected"),
-        F.when(F.col("kept_sequences") > 0, (F.col("kept_sequences") - F.col("kept_different_sequences")) / F.col("kept_sequences")).alias("kept_repeated_share"),
+        share(c("kept_line_repeats") + c("lost_line_repeats"), c("kept_line_sequences") + c("lost_line_sequences")).alias("repeated_share"),
+        share(c("repeated_lines"), c("lines")).alias("repeated_line_share"),
+        share(c("repeated_paragraphs"), c("paragraphs")).alias("repeated_paragraph_share"),
+        share(c("boilerplate_lines"), c("lines")).alias("boilerplate_share"),
+        lost.alias("lost_share"),
+        F.coalesce(lost > most_lost, F.lit(False)).alias("rejected"),
+        share(c("kept_sequences") - c("kept_different_sequences"), c("kept_sequences")).alias("kept_repeated_share"),
     )
 
 
