@@ -1,6 +1,6 @@
 """Repetition inside single documents, line first.
 
-A text is cut into lines, and a line of more than ``LONG`` words into its sentences, each a line then. Every line is judged by
+A text is cut into lines, and a line of more than ``LONG_LINE`` characters into its sentences, each a line then. Every line is judged by
 itself: navigation (short, link marks), boilerplate (a line that many documents of the corpus carry), punctuation (long prose
 without any end mark), repetition (most of its sequences of five words were said before; of a line too short for any, the line
 itself). Failing lines are removed; a document that loses more than ``most_lost`` of its characters is rejected.
@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import hashes_at, renew, sequence_hashes, word_places
 from tidemark.plans.tables import spread
 
-WORDS, LONG = 5, 30
+WORDS, LONG, LONG_LINE = 5, 30, 200
 COMMON, LEAST = 0.001, 20
 LINKS = re.compile(r"[|»«›‹>→•·/]")
 PARAGRAPHS = re.compile(r"\r?\n[ \t]*\r?\n")
@@ -90,58 +90,69 @@ def common_lines(documents: DataFrame, share: float = COMMON, least: int = LEAST
     return frozenset(counts.select("line").toArrow().column("line").to_pylist())
 
 
-def _lines(text: str) -> Iterator[tuple[str, list[int], bool]]:
+def _lines(text: str) -> list[tuple[str, list[int], bool]]:
     """Each line without outer white space, the places of its words, and whether the same line was there before."""
-    seen: dict[str, list[tuple[str, list[int]]]] = {}
+    seen: dict[str, list[tuple]] = {}
+    out: list[tuple] = []
     for raw in text.split("\n"):
         known = seen.get(raw)
-        if known is None:
-            line, places = raw.strip(), word_places(raw)
-            known = [(line, places)]
-            if len(places) > LONG and len(parts := [s for s in SENTENCES.split(line) if s]) > 1:
-                known = [(s, word_places(s)) for s in parts]
-            seen[raw] = known
-            yield from ((line, places, False) for line, places in known)
-        else:
-            yield from ((line, places, True) for line, places in known)
+        if known is not None:
+            out += known
+            continue
+        line = raw.strip()
+        parts = [x for x in SENTENCES.split(line) if x] if len(line) > LONG_LINE else ()
+        own = [(x, word_places(x)) for x in parts] if len(parts) > 1 else [(line, word_places(line))]
+        seen[raw] = [(*x, True) for x in own]
+        out += [(*x, False) for x in own]
+    return out
 
 
 def _measure(text: str, common: frozenset[int] = frozenset()) -> tuple[int, ...]:
     renew()
-    lines = list(_lines(text))
-    whole = [p for _, places, _ in lines for p in places]
+    lines = _lines(text)
+    whole: list[int] = []
+    for _, places, _ in lines:
+        whole += places
     s = sequence_hashes(hashes_at(whole), WORDS)
-    again = np.ones(len(s), np.int64)
-    again[np.unique(s, return_index=True)[1]] = 0
-    said = np.concatenate([[0], np.cumsum(again)]).tolist()
+    total = len(s)
+    if total:
+        order = np.argsort(s, kind="stable")
+        again = np.zeros(total, np.int64)
+        again[order[1:]] = s[order[1:]] == s[order[:-1]]
+        said = [0, *np.cumsum(again).tolist()]
+    else:
+        said = [0]
     kept: list[int] = []
-    n = repeated = chars = lost = boilerplate = at = 0
-    sums = [[0, 0], [0, 0]]  # sequences and repeats of kept, of removed lines
+    n = repeated = chars = lost = boilerplate = end = 0
+    blank = False
+    of_kept = repeats_kept = of_lost = repeats_lost = 0
     for line, places, before in lines:
-        a, b = min(at, len(s)), min(at + len(places), len(s))
-        at += len(places)
+        words = len(places)
+        a, end = end, end + words
         if not line:
+            blank = True
             continue
         n += 1
         repeated += before
         chars += len(line)
-        of, repeats = b - a, said[b] - said[a]
+        of = (end if end < total else total) - a if a < total else 0
+        repeats = said[a + of] - said[a] if of else 0
         known = bool(common) and line_hash(line) in common
         boilerplate += known
-        gone = fails(line, len(places)) or known or (2 * repeats > of if of else before)
-        sums[gone][0] += of
-        sums[gone][1] += repeats
-        if gone:
+        if known or (2 * repeats > of if of else before) or fails(line, words):
             lost += len(line)
+            of_lost += of
+            repeats_lost += repeats
         else:
+            of_kept += of
+            repeats_kept += repeats
             kept += places
-    parts = [p.strip() for p in PARAGRAPHS.split(text)] if n > 1 else [text.strip()] * n
-    parts = [p for p in parts if p]
-    after = counts = (len(s), len(s) - said[-1])
+    parts = [x for x in map(str.strip, PARAGRAPHS.split(text)) if x] if blank and n > 1 else [text] * (n > 0)
+    after = counts = (total, total - said[-1])
     if lost:
         k = sequence_hashes(hashes_at(kept), WORDS)
         after = (len(k), len(np.unique(k)))
-    return (len(whole), *counts, n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, *after, *sums[0], *sums[1], boilerplate)
+    return (len(whole), *counts, n, repeated, len(parts), len(parts) - len(set(parts)), chars, lost, *after, of_kept, repeats_kept, of_lost, repeats_lost, boilerplate)
 
 
 def repetition(documents: DataFrame, most_lost: float = 0.5, common: frozenset[int] | None = None) -> DataFrame:
