@@ -1,6 +1,7 @@
 import random
 
-from tidemark.operators.change_feed import current_state
+from tidemark.operators import change_feed
+from tidemark.operators.change_feed import ChangeTable, changes, current_state
 from tidemark.streaming.feeds import apply_changes, state_of
 
 SCHEMA = "s string, k string, op string, seq string, img string, stream string, at string"
@@ -51,3 +52,29 @@ def test_streamed_feed(spark, tmp_path):
         q.awaitTermination(120)
     got = sorted((r.record_id, r.source_sequence, r.image) for r in state_of(spark, str(tmp_path / "out")).collect())
     assert got == [("id=1", "3", "c"), ("id=2", "5", "b")]
+
+
+def test_batches_and_compaction(spark, tmp_path):
+    rng = random.Random(6)
+    rows = [(rng.choice("tu"), '{"id":%d}' % rng.randrange(12), rng.choice(["insert", "update", "delete"]), str(rng.randrange(60)), f"v{i}") for i in range(300)]
+    frame = lambda part: changes(spark.createDataFrame([(*r, "x", "y") for r in part], SCHEMA), "s", "k", "op", "seq", "img")
+    table, done = ChangeTable(spark, str(tmp_path / "t")), []
+    for n in range(5):
+        part = rows[n * 60 : n * 60 + 60]
+        table.append(frame(part), n)
+        if n == 1:
+            table.append(frame(part), n)  # a replayed batch
+        done += part
+        got = sorted(((r.stream, r.record_id, r.source_sequence, r.image) for r in table.state().collect()), key=str)
+        assert got == state(spark, done)
+        if n in (1, 3):
+            table.compact()
+            assert sorted(((r.stream, r.record_id, r.source_sequence, r.image) for r in table.state().collect()), key=str) == got
+    assert table.generation() == 2
+
+
+def test_records_with_many_changes_are_removed_in_the_scan(spark, monkeypatch):
+    monkeypatch.setattr(change_feed, "MANY", 50)
+    rows = [("t", '{"id":%d}' % (i % 3 if i < 600 else i), "update" if i % 7 else "delete", str(i), f"v{i}") for i in range(900)]
+    want = sorted([("t", f"id={i}", str(i), f"v{i}") for i in range(600, 900) if i % 7] + [("t", f"id={i % 3}", str(i), f"v{i}") for i in (597, 598, 599) if i % 7], key=str)
+    assert state(spark, rows) == want

@@ -51,9 +51,12 @@ class Scratch:
         spark.__dict__.setdefault("_tidemark_scratch", []).append(self.root)
         self.count = 0
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def folder(self) -> str:
         self.count += 1
-        path = f"{self.root}/{self.count}"
+        return f"{self.root}/{self.count}"
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = self.folder()
         df.write.parquet(path)
         kept = self.spark.read.schema(df.schema).parquet(path)
         kept._tidemark_path = path

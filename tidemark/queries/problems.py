@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import change_feed, known_at, late_events, periods
-from tidemark.plans.tables import table
+from tidemark.plans.tables import Scratch, table
 
 
 def _arrival() -> Column:
@@ -35,6 +35,17 @@ def p3_state(spark: SparkSession, d: str) -> DataFrame:
     return state.select(F.col("stream").alias("stream_name"), "record_id", "source_sequence", F.col("image").alias("after_image"))
 
 
+def p3_batches(spark: SparkSession, d: str) -> DataFrame:
+    """The feed as four batches by arrival, compacted after the second."""
+    feed, kept = table(spark, d, "change_events"), change_feed.ChangeTable(spark, Scratch(spark).folder())
+    arrived = F.coalesce(F.quarter("recorded_at"), F.lit(1))
+    for number in range(1, 5):
+        kept.append(change_feed.changes(feed.filter(arrived == number), "stream_name", "record_key", "operation", "source_sequence", "after_image"), number)
+        if number == 2:
+            kept.compact()
+    return kept.state().select(F.col("stream").alias("stream_name"), "record_id", "source_sequence", F.col("image").alias("after_image"))
+
+
 SLOT = ("subject_id", "predicate")
 
 
@@ -72,7 +83,7 @@ def p6_known_attributes(spark: SparkSession, d: str) -> DataFrame:
     return _known(spark, d).select(F.col("event_id").alias("event_claim_id"), F.col("attribute").alias("predicate_name"), F.col("claim_id").alias("known_claim_id"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_daily_counts, p1_corrections, p3_found, p3_state, p5_found, p5_periods, p6_found, p6_known_attributes)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_daily_counts, p1_corrections, p3_found, p3_state, p3_batches, p5_found, p5_periods, p6_found, p6_known_attributes)}
 
 _EVENTS = """
 WITH ev AS (
@@ -130,6 +141,7 @@ SQL = {
       SELECT source_id, period_start, published_at, (upto - n)::BIGINT AS old_events, upto::BIGINT AS new_events FROM cum""",
     "p3_found": _FEED + "SELECT stream_name, record_id, source_sequence FROM ranked WHERE n = 1 AND op <> 'delete'",
     "p3_state": _FEED + "SELECT stream_name, record_id, source_sequence, after_image FROM ranked WHERE n = 1 AND op <> 'delete'",
+    "p3_batches": _FEED + "SELECT stream_name, record_id, source_sequence, after_image FROM ranked WHERE n = 1 AND op <> 'delete'",
     "p5_found": _COVER + """
       SELECT subject_id, predicate, strftime(reach, '%Y-%m-%d %H:%M:%S') AS gap_from, strftime(lo, '%Y-%m-%d %H:%M:%S') AS gap_to
       FROM cv WHERE reach < lo""",

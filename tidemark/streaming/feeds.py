@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidemark.operators.change_feed import changes, current_state
+from tidemark.operators.change_feed import ChangeTable, changes
 
 
 def once(stream: DataFrame, keys: list[str], at: str, lateness: str) -> DataFrame:
@@ -14,21 +13,18 @@ def once(stream: DataFrame, keys: list[str], at: str, lateness: str) -> DataFram
 
 
 def apply_changes(stream: DataFrame, folder: str, checkpoint: str):
-    """Append a feed's changes as data and delete files; ``state_of`` reads the table. Replayed batches have no effect.
+    """Append a feed's changes to the ``ChangeTable`` in a folder, a batch each; replayed batches have no effect.
 
     stream: stream_name, record_key, operation, source_sequence, after_image.
     """
 
     def write(batch: DataFrame, number: int) -> None:
         feed = changes(batch, "stream_name", "record_key", "operation", "source_sequence", "after_image")
-        feed.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)
+        ChangeTable(batch.sparkSession, folder).append(feed, number)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def state_of(spark, folder: str) -> DataFrame:
     """The table that stands after all batches so far."""
-    kept = spark.read.parquet(folder)
-    rows = kept.select("stream", F.col("record_id").alias("k"), F.when(F.col("sets"), "upsert").otherwise("delete").alias("op"), F.when(F.col("at.kind") != 0, F.col("at.raw")).alias("seq"), "image")
-    rows = rows.withColumn("op", F.when(F.col("op") == "upsert", "update").otherwise("delete"))
-    return current_state(rows, "stream", "k", "op", "seq", "image")
+    return ChangeTable(spark, folder).state()
