@@ -186,3 +186,80 @@ def test_canonical_long_chains_and_cycles(spark):
     rows = [(f"c{i:03}", f"c{i + 1:03}" if i < 199 else None) for i in range(200)] + [(f"k{i:03}", f"k{(i + 1) % 150:03}") for i in range(150)] + [("l", "k100")]
     got = {r.entity_id: r.canonical_id for r in graph.canonical(spark.createDataFrame(rows, "entity_id string, merged_into_id string")).collect()}
     assert len(got) == 351 and {v for k, v in got.items() if k[0] == "c"} == {"c199"} and {v for k, v in got.items() if k[0] != "c"} == {"k000"}
+
+
+def test_nearest_against_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    a = rng.integers(-2, 3, (700, 3)).astype(float)  # many ties, some zero vectors
+    rows = [(f"r{i:03d}", x.tolist()) for i, x in enumerate(a)] + [("short", [1.0]), ("none", None), ("hole", [1.0, None, 2.0]), ("nan", [1.0, float("nan"), 2.0])]
+    v = spark.createDataFrame(rows, "record_id string, embedding array<double>").repartition(3)
+    q = spark.createDataFrame([(i, a[i].tolist()) for i in range(0, 700, 50)] + [(1000, [2.0])], "query_id int, query array<double>")
+    unit = {r: np.array(x) / np.linalg.norm(x) for r, x in rows if x and None not in x and np.isfinite(np.linalg.norm(x)) and np.linalg.norm(x) > 0}
+    want = []
+    for i, x in [(i, a[i]) for i in range(0, 700, 50)] + [(1000, np.array([2.0]))]:
+        if np.linalg.norm(x) > 0:
+            scores = sorted((-round(float(u @ x / np.linalg.norm(x)), 9), r) for r, u in unit.items() if len(u) == len(x))
+            want += [(i, n + 1, r) for n, (s, r) in enumerate(x for x in scores if x[0] != 0)][:5]
+    for most in (100, 4):
+        assert sorted((r.query_id, r.rank, r.record_id) for r in search.nearest(v, q, 5, most_queries=most).collect()) == sorted(want)
+    assert search.nearest(v.limit(0), q, 5).count() == 0 and search.nearest(v, q.limit(0), 5).count() == 0
+
+
+def test_index_recall(spark):
+    e = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
+    records = e.selectExpr("vec_id record_id", "embedding")
+    q = e.filter("vec_id % 50 = 0").selectExpr("vec_id query_id", "embedding query")
+    index = search.VectorIndex(records, cells=32, sample=1000)
+    want = {(r.query_id, r.record_id) for r in search.nearest(records, q, 10).collect()}
+    held_out = e.filter("vec_id % 50 = 25").selectExpr("vec_id query_id", "embedding query")
+    got = {(r.query_id, r.record_id) for r in index.search(q, 10, index.probes_for(held_out, 10)).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+    assert {(r.query_id, r.record_id) for r in index.search(q, 10, probes=32).collect()} == want
+    assert search.VectorIndex(records.limit(0)).search(q, 10).count() == 0
+
+
+def test_exact_in_blocks_and_awkward_queries(spark):
+    docs = spark.createDataFrame([(1, "Red APPLE pie"), (1, "Red APPLE pie"), (2, "red"), (3, None), (4, ""), (5, "pie " * 5000)], "record_id int, content string")
+    q = spark.createDataFrame([("a", "red apple"), ("b", "Pie"), ("b2", "pie"), ("c", ""), ("d", None), ("e", "é%_"), ("a", "red apple")], "query_id string, query string")
+    want = [("a", 1), ("a", 1), ("b", 1), ("b", 1), ("b", 5), ("b2", 1), ("b2", 1), ("b2", 5)]
+    for most in (10**6, 4):
+        assert sorted((r.query_id, r.record_id) for r in search.exact(docs, q, most).collect()) == want
+    assert search.exact(docs.limit(0), q).count() == 0 and search.exact(docs, q.limit(0)).count() == 0
+
+
+def test_ladder_keeps_other_subjects_out(spark):
+    docs = spark.createDataFrame([(1, "case seven apple"), (2, "apple pie"), (3, "pear")], "record_id int, content string")
+    q = spark.createDataFrame([("a", "apple seven"), ("b", "apple"), ("c", "pear nine")], "query_id string, query string")
+    anchors = spark.createDataFrame([("a", "seven"), ("c", "nine")], "query_id string, term string")
+    got = sorted((r.query_id, r.record_id, r.tier) for r in search.ladder(docs, q, anchors, 5, relax=False).collect())
+    assert got == [("a", 1, 1), ("b", 1, 1), ("b", 2, 1), ("c", 3, 3)]
+
+
+def test_bm25_against_plain_sums(spark, monkeypatch):
+    import math
+    import random
+    from collections import Counter
+
+    from tidemark.operators import lexical
+
+    rng = random.Random(4)
+    words = ["red", "apple", "pie", "car", "seven", "tree", "und", "la"]
+    docs = [(i, " ".join(rng.choice(words) for _ in range(rng.randrange(9)))) for i in range(60)] + [(60, None)]
+    asked = [(f"q{i}", " ".join(rng.sample(words, 3))) for i in range(7)]
+    df = spark.createDataFrame(docs, "record_id int, content string").repartition(3)
+    q = spark.createDataFrame(asked, "query_id string, query string")
+    texts = {i: (t or "").split() for i, t in docs}
+    mean = sum(len(t) for _, t in docs if t is not None) / 60
+    n = {w: sum(w in t for t in texts.values()) for w in words}
+    part = lambda w, i, tf: math.log(1 + (61 - n[w] + 0.5) / (n[w] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(docs[i][1]) / mean))
+    want = {(a, i): sum(part(w, i, tf) for w, tf in Counter(t).items() if w in x.split()) for a, x in asked for i, t in texts.items() if set(t) & set(x.split())}
+    for block in (lexical.BLOCK, 50):
+        monkeypatch.setattr(lexical, "BLOCK", block)
+        monkeypatch.setattr(lexical, "SCORES", 40 if block == 50 else 10**6)
+        monkeypatch.setattr(lexical, "TERMS", 9 if block == 50 else 10**6)
+        got = {(r.query_id, r.record_id): r.score for r in search.bm25(df, q).collect()}
+        assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
+        best = {(r.query_id, r.record_id) for r in search.top(search.bm25(df, q, k=4), 4, F.round("score", 6).desc(), F.col("record_id")).collect()}
+        assert best == {(a, i) for a, _ in asked for _, i in sorted((-round(s, 6), i) for (b, i), s in want.items() if b == a)[:4]}

@@ -47,9 +47,12 @@ STOPWORDS = tuple(
 )
 
 
+WORD = r"([\p{L}\p{N}]+)"
+
+
 def tokens(x: Column) -> Column:
     """Lower-case runs of letters and digits without stop words, in order. No stemming."""
-    return F.filter(F.regexp_extract_all(F.lower(x), F.lit(r"([\p{L}\p{N}]+)")), lambda w: ~w.isin(*STOPWORDS))
+    return F.filter(F.regexp_extract_all(F.lower(x), F.lit(WORD)), lambda w: ~w.isin(*STOPWORDS))
 
 
 def terms(x: Column) -> Column:

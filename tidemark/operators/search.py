@@ -7,15 +7,18 @@ see what may not be seen. Ties always end with the record's id, so a top-k is on
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from tidemark.functions import text, vectors
+from tidemark.functions import text
+from tidemark.operators.lexical import bm25, ladder, query_terms  # noqa: F401
+from tidemark.operators.nearest import VectorIndex, nearest  # noqa: F401
 from tidemark.plans.tables import spread
 
-K1, B = 1.2, 0.75
-
-
 def top(hits: DataFrame, k: int | None, *order: Column) -> DataFrame:
     """The first k hits of each query, or all, with their ``rank``."""
     w = Window.partitionBy("query_id").orderBy(*order)
@@ -23,70 +26,50 @@ def top(hits: DataFrame, k: int | None, *order: Column) -> DataFrame:
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 
 
-def postings(records: DataFrame) -> DataFrame:
-    """``record_id``, ``term``, ``tf``, ``chars`` of records (record_id, content)."""
-    rows = records.select("record_id", F.length("content").alias("chars"), F.explode(text.tokens(F.col("content"))).alias("term"))
-    return rows.groupBy("record_id", "term").agg(F.count("*").alias("tf"), F.first("chars").alias("chars"))
+def exact(records: DataFrame, queries: DataFrame, most: int = 5_000_000) -> DataFrame:
+    """``query_id``, ``record_id``, ``score``, ``chars``: records that hold the query literally, case aside.
 
+    One automaton of all queries goes over each text once, whatever their number. Queries of more than ``most`` characters in all
+    (some 500 MB as an automaton) go in blocks, a pass over the records each. Null and empty queries match nothing.
+    """
+    q = queries.select("query_id", "query", F.lower("query").alias("low")).filter("query <> ''").distinct()
+    size = q.agg(F.sum(F.length("low"))).first()[0] or 0
+    n = max(1, -(-size // most))
+    out = None
+    for i in range(n):
+        hits = _literal(records, q if n == 1 else q.filter(F.pmod(F.xxhash64("low"), F.lit(n)) == i))
+        out = hits if out is None else out.unionByName(hits)
+    return out.select("query_id", "record_id", text.similarity(F.col("content"), F.col("query")).alias("score"), F.length("content").alias("chars"))
 
-def query_terms(queries: DataFrame) -> DataFrame:
-    """``query_id``, ``term``: the different terms of queries (query_id, query)."""
-    return queries.select("query_id", F.explode(F.array_distinct(text.tokens(F.col("query")))).alias("term"))
 
+def _literal(records: DataFrame, queries: DataFrame) -> DataFrame:
+    """``record_id``, ``content``, ``query_id``, ``query`` of each literal hit; the queries fit into one automaton."""
+    rows = queries.toArrow().to_pylist()
+    number = {low: i for i, low in enumerate(dict.fromkeys(r["low"] for r in rows))}
+    shared = records.sparkSession.sparkContext.broadcast(list(number))
+    kind = StructType([records.schema["record_id"], records.schema["content"], StructField("at", LongType())])
 
-def bm25(records: DataFrame, queries: DataFrame, mode: str = "any", anchors: DataFrame | None = None) -> DataFrame:
-    """``query_id``, ``record_id``, ``score``: BM25 with lengths in characters.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from ahocorasick import Automaton
 
-    mode: ``any`` term of the query, ``all`` terms, or ``anchored``: all terms of ``anchors`` (query_id, term) and any other.
-    Terms of the queries are joined to the corpus' words before these are counted, so only postings that a query asks for
-    are shuffled; document frequencies are counted over the whole corpus, not a sample.
-    """
-    terms = query_terms(queries)
-    if anchors is not None:
-        terms = terms.unionByName(anchors.select("query_id", "term")).distinct()
-    words = spread(records.select("record_id", "content")).select("record_id", F.length("content").alias("chars"), F.explode(text.tokens(F.col("content"))).alias("term"))
-    words = words.join(terms.select("term").distinct(), "term", "left_semi")
-    posted = words.groupBy("record_id", "term").agg(F.count("*").alias("tf"), F.first("chars").alias("chars"))
-    # one row: its broadcast is bounded
-    pool = records.agg(F.count("*").cast("double").alias("n"), F.greatest(F.coalesce(F.avg(F.length("content")), F.lit(1.0)), F.lit(1.0)).alias("avgdl"))
-    df = posted.groupBy("term").agg(F.count("*").cast("double").alias("df"))
-    weights = df.crossJoin(F.broadcast(pool)).select("term", "avgdl", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("chars") / F.col("avgdl")))
-    marked = terms if anchors is None else terms.join(anchors.select("query_id", "term").distinct().withColumn("anchor", F.lit(1)), ["query_id", "term"], "left")
-    if anchors is None:
-        marked = marked.withColumn("anchor", F.lit(None).cast("int"))
-    hits = posted.join(weights, "term").join(marked, "term")
-    hits = hits.groupBy("query_id", "record_id").agg(F.sum(part).alias("score"), F.count("*").alias("found"), F.count("anchor").alias("anchored"))
-    if mode == "any":
-        return hits.select("query_id", "record_id", "score")
-    need = marked.groupBy("query_id").agg(F.count("*").alias("terms"), F.count("anchor").alias("anchors"))
-    hits = hits.join(need, "query_id")
-    if mode == "all":
-        return hits.filter("found = terms").select("query_id", "record_id", "score")
-    # all anchors, and one of the rest where there is a rest
-    return hits.filter("anchored = anchors and (found > anchored or terms = anchors)").select("query_id", "record_id", "score")
-
-
-def ladder(records: DataFrame, queries: DataFrame, anchors: DataFrame, limit: int) -> DataFrame:
-    """Strict hits first, then anchored ones, then any: each record once, at most 3 * limit a query; ``tier`` 1 to 3."""
-    tiers = [bm25(records, queries, "all"), bm25(records, queries, "anchored", anchors), bm25(records, queries, "any")]
-    rows = tiers[0].withColumn("tier", F.lit(1)).unionByName(tiers[1].withColumn("tier", F.lit(2))).unionByName(tiers[2].withColumn("tier", F.lit(3)))
-    first = rows.groupBy("query_id", "record_id").agg(F.min_by("score", "tier").alias("score"), F.min("tier").alias("tier"))
-    return top(first, 3 * limit, F.col("tier"), F.round("score", 6).desc(), F.col("record_id"))
-
-
-def exact(records: DataFrame, queries: DataFrame) -> DataFrame:
-    """``query_id``, ``record_id``, ``score``, ``chars``: records that hold the query literally, case aside.
+        words = Automaton()
+        for i, low in enumerate(shared.value):
+            words.add_word(low, i)
+        words.make_automaton()
+        for b in batches:
+            of, found = [], []
+            for i, low in enumerate(b.column(2)):
+                hits = {at for _, at in words.iter(low.as_py())} if shared.value else ()
+                found.extend(hits)
+                of.extend([i] * len(hits))
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(of, pa.int64())) for c in (0, 1)), pa.array(found, pa.int64())], ["record_id", "content", "at"])
 
-    Substring tests have no key, so queries, few against the corpus, meet each record by a condition: a nested-loop join
-    that streams the corpus once. Its broadcast side is the queries; Spark refuses one beyond its limits.
-    """
-    q = queries.select("query_id", "query", F.lower("query").alias("low_query")).filter("query <> ''")
-    rows = spread(records.select("record_id", "content")).withColumn("low", F.lower("content")).join(q, F.contains("low", "low_query"))
-    return rows.select("query_id", "record_id", text.similarity(F.col("content"), F.col("query")).alias("score"), F.length("content").alias("chars"))
+    texts = spread(records.select("record_id", "content").filter("content is not null")).withColumn("low", F.lower("content"))
+    names = records.sparkSession.createDataFrame([(number[r["low"]], r["query_id"], r["query"]) for r in rows], StructType([StructField("at", LongType()), queries.schema["query_id"], queries.schema["query"]]))
+    return texts.mapInArrow(run, kind).join(F.broadcast(names), "at").drop("at")
 
 
-def similar(names: DataFrame, queries: DataFrame, least: float = 0.55, common: int = 100_000) -> DataFrame:
+def similar(names: DataFrame, queries: DataFrame, least: float = 0.55) -> DataFrame:
     """``query_id``, ``record_id``, ``score``: names whose trigram similarity to the query is at least ``least``.
 
     Prefix filter: to reach a Jaccard similarity t, two sets must share an element among the rarest n - ceil(t n) + 1 of
@@ -109,31 +92,6 @@ def similar(names: DataFrame, queries: DataFrame, least: float = 0.55, common: i
     return scored.withColumn("score", text.jaccard(F.col("ag"), F.col("qg"))).filter(F.col("score") >= least).select("query_id", "record_id", "score")
 
 
-def nearest(records: DataFrame, queries: DataFrame, k: int | None, least: float | None = None, most_queries: int = 10_000) -> DataFrame:
-    """``query_id``, ``record_id``, ``score``, ``rank``: the k records of greatest cosine similarity, exactly;
-    without k all, as of a threshold search with ``least``.
-
-    records: record_id, embedding; queries: query_id, query (vector). The queries, checked to be at most ``most_queries``,
-    go to every task and each record is scored once against them; partial top-k lists are cut per task (Spark's window
-    group limit) before the shuffle. More queries go in blocks of that size. Zero vectors and other lengths match nothing;
-    orthogonal ones only where ``least`` lets them.
-    """
-    q = queries.select("query_id", vectors.normalized(F.col("query")).alias("q")).filter(vectors.norm(F.col("q")) > 0)
-    a = records.select("record_id", vectors.normalized(F.col("embedding")).alias("a")).filter(vectors.norm(F.col("a")) > 0)
-    blocks = max(1, -(-q.count() // most_queries))
-    out = None
-    for i in range(blocks):
-        part = q if blocks == 1 else q.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        hits = a.join(F.broadcast(part), F.size("a") == F.size("q")).select("query_id", "record_id", vectors.dot(F.col("a"), F.col("q")).alias("score"))
-        if least is not None:
-            hits = hits.filter(F.col("score") >= least)
-        else:
-            hits = hits.filter("score <> 0")
-        hits = top(hits.filter("score is not null"), k, F.round("score", 9).desc(), F.col("record_id"))
-        out = hits if out is None else out.unionByName(hits)
-    return out
-
-
 def nearest_sparse(records: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``query_id``, ``record_id``, ``score``, ``rank``: the k records of greatest cosine similarity above zero, exactly.
 

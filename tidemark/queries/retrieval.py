@@ -66,7 +66,7 @@ def _anchors(spark, d) -> DataFrame:
 
 @query(_BM25 + _ranked("h", 20))
 def bm25_topk(spark, d):
-    return _first(search.bm25(_documents(spark, d), _asked(spark, d)), 20)
+    return _first(search.bm25(_documents(spark, d), _asked(spark, d), k=20), 20)
 
 
 @query(_BM25 + " SELECT query_id, record_id, round(score, 6) AS score FROM h JOIN need USING (query_id) WHERE found = terms")
@@ -76,7 +76,7 @@ def bm25_strict(spark, d):
 
 @query(_BM25 + _ranked("(SELECT * FROM h JOIN need USING (query_id) WHERE anchored = 1 AND (found > 1 OR terms = 1))", 20))
 def bm25_anchored(spark, d):
-    return _first(search.bm25(_documents(spark, d), _asked(spark, d), "anchored", _anchors(spark, d)), 20)
+    return _first(search.bm25(_documents(spark, d), _asked(spark, d), "anchored", _anchors(spark, d), 20), 20)
 
 
 @query(_BM25 + f""", t AS (SELECT query_id, record_id, score, CASE WHEN found = terms THEN 1 WHEN anchored = 1 AND (found > 1 OR terms = 1) THEN 2 ELSE 3 END AS tier FROM h JOIN need USING (query_id))
@@ -144,6 +144,15 @@ def vector_min_score(spark, d):
     return search.nearest(records, q, None, least=0.3).select("query_id", "record_id", _score("score"), "rank")
 
 
+@query()
+def vector_index_topk(spark, d):
+    """By an inverted file; the number of cells looked into reaches 0.95 of the exact answers of queries of its own."""
+    records, q = _vectors(spark, d)
+    own = table(spark, d, "embeddings").filter("vec_id % 50 = 25").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    index = search.VectorIndex(records)
+    return index.search(q, 10, index.probes_for(own, 10)).select("query_id", "record_id", _score("score"), "rank")
+
+
 @query(f"WITH e AS (SELECT vec_id, {_DOUBLE % 'embedding'} AS v FROM embeddings), n AS (SELECT *, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS m FROM e) SELECT vec_id, len(v)::INT AS size, (len(v) = 64) AS valid, round(m, 6) AS norm, round(list_sum(list_transform(v, lambda x: x / m)), 6) AS unit_sum FROM n")
 def vector_normalize(spark, d):
     e = F.col("embedding")
@@ -155,8 +164,8 @@ def vector_normalize(spark, d):
 
 def _legs(spark, d) -> DataFrame:
     q, docs = _asked(spark, d), _documents(spark, d)
-    lexical = search.top(search.bm25(docs, q), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
-    strict = search.top(search.bm25(docs.filter("length(content) < 900"), q), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("vector"))
+    lexical = search.top(search.bm25(docs, q, k=40), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
+    strict = search.top(search.bm25(docs.filter("length(content) < 900"), q, k=40), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("vector"))
     entity = lexical.filter("record_id % 3 = 0").withColumn("mode", F.lit("entity"))
     rows = lexical.unionByName(strict).unionByName(entity).withColumn("score", F.round("score", 6))
     return rows.withColumn("stream", F.lit(0)).withColumn("surface", F.when(F.col("record_id") % 2 == 0, "chunk").otherwise("assertion")).withColumn("depth", (F.col("record_id") % 2).cast("int"))
@@ -189,7 +198,7 @@ def _whole_legs(spark, d) -> DataFrame:
     """Words, literal answers and hashed embeddings, each over all documents."""
     q, docs = _asked(spark, d), _documents(spark, d)
     answers = table(spark, d, "eval_items").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("answer").alias("query"))
-    lexical = search.top(search.bm25(docs, q), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
+    lexical = search.top(search.bm25(docs, q, k=40), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
     exact = search.top(search.exact(docs, answers), 40, F.round("score", 6).desc(), F.col("chars"), F.col("record_id")).withColumn("mode", F.lit("exact")).drop("chars")
     asked = projection.hashed_embedding(q.select(F.col("query_id").alias("record_id"), F.col("query").alias("content"))).withColumnRenamed("record_id", "query_id")
     vector = search.nearest_sparse(projection.hashed_embedding(spread(docs)), asked, 40).withColumn("mode", F.lit("vector"))
