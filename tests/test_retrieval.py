@@ -263,3 +263,42 @@ def test_bm25_against_plain_sums(spark, monkeypatch):
         assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-9 for x in want)
         best = {(r.query_id, r.record_id) for r in search.top(search.bm25(df, q, k=4), 4, F.round("score", 6).desc(), F.col("record_id")).collect()}
         assert best == {(a, i) for a, _ in asked for _, i in sorted((-round(s, 6), i) for (b, i), s in want.items() if b == a)[:4]}
+
+
+def test_intent_tells_identifiers_names_and_times():
+    tokens = lambda q: intent.interpret(q)
+    got = tokens("For Project-001, why was the supplier changed on January 25? Return the recorded reason code.")
+    assert got.focus == ["Project-001"] and got.names == []
+    got = tokens("For Alice Chen, what changed at New Horizons Ltd in March?")
+    assert got.names == ["Alice Chen", "New Horizons Ltd"]
+    got = tokens("Why did case CASE-42 move after error ERR_7731X?")
+    assert got.focus == ["CASE-42", "ERR_7731X"] and "decision_trace" in got.requirements
+    assert tokens("$5000 C++11 #77a a@1 12 1234 v1.2 Ab/c ab-c x1 2024-05-06 rep-2024-05-06").focus == ["1234", "v1.2", "Ab/c", "x1"]
+    got = tokens("What did we believe on 2026-04-10 about the state valid at 2026-03-25?")
+    assert (got.known_at, got.valid_at) == (datetime(2026, 4, 10, 23, 59, 59, 999999), datetime(2026, 3, 25))
+    assert tokens("at 2026-03-25T10:30Z or 2026-03-25T10:30:00").valid_at is None
+    assert tokens("active at 2026-03-25T10:30:00+02:00").active_at == datetime(2026, 3, 25, 8, 30)
+    merged = tokens("known at 2026-02-02").merged(valid_at=datetime(2026, 1, 1))
+    assert merged.valid_at == datetime(2026, 1, 1) and merged.known_at == datetime(2026, 2, 2, 23, 59, 59, 999999)
+    p = intent.plan("Why did Alice Chen, Bob Stone and Carol Diaz object to CASE-42?")
+    assert "CASE-42" in p.subqueries and len(p.subqueries) == 4
+    assert [p.searched(i) for i in range(4)] == [True, True, False, False] and p.anchors(0) == ["CASE-42"] and p.anchors(1) == []
+    assert tokens("").focus == [] and intent.plan("").modes == ["lexical", "vector", "graph"]
+
+
+def test_planners_answers_are_decoded_strictly():
+    import pytest
+
+    p = intent.decoded({"subqueries": ["who owns it", "CASE-42"], "modes": ["graph", "exact"]}, "Who owns CASE-42?")
+    assert p.subqueries == ["Who owns CASE-42?", "who owns it", "CASE-42"] and p.intent.focus == ["CASE-42"] and "lexical" in p.modes
+    assert "vector" not in intent.decoded({"modes": ["vector"]}, "a", embedder=False).modes
+    for bad in ({"modes": ["sql"]}, {"modes": "exact"}, {"subqueries": [1]}, {"other": []}, [], {"subqueries": ["a", "b", "c", "d", "e"]}):
+        with pytest.raises(ValueError):
+            intent.decoded(bad, "q")
+
+
+def test_questions_are_planned_in_batches(spark):
+    q = spark.createDataFrame([(1, "Who owns CASE-77 as of 2024-05-06?"), (2, None), (3, "")], "query_id int, query string")
+    got = {r.query_id: r for r in intent.planned(q, embedder=False).collect()}
+    assert sorted(got) == [1, 3] and got[1].focus == ["CASE-77"] and got[1].valid_at == datetime(2024, 5, 6) and got[1].width == 3
+    assert [(s.query, s.searched, s.anchors) for s in got[1].subqueries] == [("Who owns CASE-77 as of 2024-05-06?", True, ["CASE-77"]), ("CASE-77", True, [])]

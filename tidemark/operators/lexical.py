@@ -10,7 +10,7 @@ repeated rows are records of their own; ties go to the smaller record id; empty
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -179,13 +179,14 @@ def bm25(records: DataFrame, queries: DataFrame, mode: str = "any", anchors: Dat
     return _hits(records, queries, anchors, mode, k).select("query_id", "record_id", "score")
 
 
-def ladder(records: DataFrame, queries: DataFrame, anchors: DataFrame, limit: int, relax: bool = True) -> DataFrame:
+def ladder(records: DataFrame, queries: DataFrame, anchors: DataFrame, limit: int, relax: bool = True, allowed: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Strict hits first, then anchored ones, then any: each record once, at most 3 * limit a query; ``tier`` 1 to 3, ``rank``.
 
     All tiers are read off one pass over the records. With ``relax`` off, a query with anchors gets hits of the last tier only
-    if it has no others: records about other subjects are what anchors keep out.
+    if it has no others: records about other subjects are what anchors keep out. ``allowed`` takes hits out before any are cut.
     """
-    rows = _hits(records, queries, anchors, "ladder", 3 * limit)
+    rows = _hits(records, queries, anchors, "ladder", None if allowed else 3 * limit)
+    rows = allowed(rows) if allowed else rows
     if not relax:
         best = F.min("tier").over(Window.partitionBy("query_id"))
         rows = rows.join(anchors.select("query_id").distinct().withColumn("held", F.lit(True)), "query_id", "left")
