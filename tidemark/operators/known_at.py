@@ -6,10 +6,11 @@ removes it; both copy one path, and the root after each change stays. An event s
 searches it for the claim that is valid at its valid time and was recorded last. Knowledge from later times isn't in that
 root, so it can't leak.
 
-Subjects, claims and events arrive hashed by subject. A subject with more than ``limit`` claims or events is cut: by
-attribute, its events by known time into ``PIECES`` stretches, its claims by hash; a claim goes to the stretches in which
-it is known, an event asks each part of the claims of its stretch, and the parts' answers fold to the latest. The table of
-such subjects has at most ``HOT`` rows, which bounds its broadcast; a subject beyond these holds less than 1/HOT of all.
+Subjects, claims and events arrive hashed by subject. A subject with more than ``limit`` claims or events is cut: by attribute,
+and its claims by the order of recording into stretches of about ``limit``, from counts. No claim is in two stretches. An event
+first asks the stretch of its known time: an answer there was recorded after all earlier stretches, so it stands. Only an event
+without an answer goes on, to one, two, four and so on stretches before. Events beyond ``limit`` in a stretch are split, and bring
+its claims with them, no more copies than events.
 
 Defined cases: null starts and ends are unbounded; a claim never recorded, or closed when recorded, is never known; an
 event without times or subject knows nothing; a null attribute is an attribute of its own; of several claims the one
@@ -24,11 +25,14 @@ from collections.abc import Iterator
 from zlib import crc32
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-HOT, PIECES = 2000, 64
+from tidemark.plans.tables import Scratch
+
 NEVER = 2**62
+#: Claims in one search tree, some 200 MB in Python with all its roots.
+LIMIT = 50_000
 
 
 class _Node:
@@ -139,29 +143,42 @@ def _ints(x: pa.Array) -> list:
     return x.cast(pa.timestamp("us")).cast(pa.int64()).to_pylist()
 
 
+FOUND = "event_id string, attribute string, claim_id string, recorded timestamp_ntz, known_at timestamp_ntz, valid_at timestamp_ntz"
+_ROW = ("event", "a", "i", "t1", "t2", "t3", "t4")
+
+
 def _answers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by shard, claims first: shard, is_event, attribute, id, four times."""
-    shard, claims, trees = None, {}, None
+    """Rows sorted by shard, claims first, then events by id: shard, is_event, attribute, id, four times."""
+    shard, claims, trees, last, given = None, {}, None, None, set()
+    times = pa.timestamp("us")
     for b in batches:
         out: list[tuple] = []
         cols = [b.column(i).to_pylist() for i in range(4)] + [_ints(b.column(i)) for i in range(4, 8)]
         for s, event, attribute, i, t1, t2, t3, t4 in zip(*cols):
             if s != shard:
-                shard, claims, trees = s, {}, None
+                shard, claims, trees, last = s, {}, None, None
             if not event:
                 start, end = -NEVER if t1 is None else t1, NEVER if t2 is None else t2
                 claims.setdefault(attribute, set()).add((start, end, (t3, i), t3, NEVER if t4 is None else t4))
                 continue
             if trees is None:
                 trees, claims = [(a, History(list(x))) for a, x in claims.items()], {}
+            if i != last:
+                last, given = i, set()
             for a, history in trees:
-                if (found := history.known(t1, t2)) is not None:
-                    out.append((i, a, found[1], found[0]))
-        e, a, c, r = zip(*out) if out else ((), (), (), ())
-        yield pa.RecordBatch.from_arrays([pa.array(e, pa.string()), pa.array(a, pa.string()), pa.array(c, pa.string()), pa.array(r, pa.timestamp("us"))], ["event_id", "attribute", "claim_id", "recorded"])
+                found = history.known(t1, t2)
+                if found is not None and (a, found[1]) not in given:
+                    given.add((a, found[1]))
+                    out.append((i, a, found[1], found[0], t1, t2))
+        cols = list(zip(*out)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.string()) for c in cols[:3]), *(pa.array(c, pa.int64()).cast(times) for c in cols[3:])], ["event_id", "attribute", "claim_id", "recorded", "known_at", "valid_at"])
+
+
+def _asked(rows: DataFrame) -> DataFrame:
+    return rows.select("shard", *_ROW).repartition("shard").sortWithinPartitions("shard", "event", "i").mapInArrow(_answers, FOUND)
 
 
-def known_at(events: DataFrame, claims: DataFrame, limit: int = 200_000) -> DataFrame:
+def known_at(events: DataFrame, claims: DataFrame, limit: int = LIMIT) -> DataFrame:
     """``event_id``, ``attribute``, ``claim_id``: of each event and attribute the claim known then.
 
     events: subject, event_id, known_at, valid_at. claims: subject, attribute, claim_id, valid_from, valid_to,
@@ -177,32 +194,46 @@ def known_at(events: DataFrame, claims: DataFrame, limit: int = 200_000) -> Data
 
     rows = asks.unionByName(facts)
     counts = asks.select("s", F.lit(1).alias("e"), F.lit(0).alias("c")).unionByName(facts.select("s", F.lit(0).alias("e"), F.lit(1).alias("c"))).groupBy("s").agg(F.sum("e").alias("e"), F.sum("c").alias("c"))
-    hot = counts.filter(f"e > {limit} or c > {limit}").orderBy(F.greatest("e", "c").desc(), "s").limit(HOT).collect()
-    shard = F.col("s")
-    if hot:
-        rows = _cut(rows, asks, facts, hot, limit)
-        shard = F.col("shard")
-    found = rows.select(shard.alias("shard"), "event", "a", "i", "t1", "t2", "t3", "t4").repartition("shard").sortWithinPartitions("shard", "event")
-    found = found.mapInArrow(_answers, "event_id string, attribute string, claim_id string, recorded timestamp_ntz")
-    if hot:
-        found = found.groupBy("event_id", "attribute").agg(F.max(F.struct("recorded", "claim_id")).alias("x")).select("event_id", "attribute", "x.claim_id")
-    return found.select("event_id", "attribute", "claim_id").distinct()
-
-
-def _cut(rows: DataFrame, asks: DataFrame, facts: DataFrame, hot: list, limit: int) -> DataFrame:
-    """Rows of hot subjects go to shards by attribute, stretch of known time and part of the claims."""
-    spark = rows.sparkSession
-    parts = spark.createDataFrame([(r.s, max(1, -(-r.c // limit))) for r in hot], "s string, parts long")
-    share = [i / PIECES for i in range(1, PIECES)]
-    bounds = asks.join(F.broadcast(parts), "s").groupBy("s").agg(F.percentile_approx(F.unix_micros(F.col("t1").cast("timestamp")), share, 10_000).alias("bounds"))
-    attributes = facts.join(F.broadcast(parts), "s").select("s", "a").distinct().groupBy("s").agg(F.collect_list(F.struct("a")).alias("attributes"))
-    plan = parts.join(bounds, "s", "left").join(attributes, "s", "left")
-    both = rows.join(F.broadcast(plan), "s", "left")
-    piece = lambda c: F.size(F.filter("bounds", lambda b: b <= F.unix_micros(F.col(c).cast("timestamp"))))
-    cold = both.filter("parts is null").select(F.to_json(F.array("s")).alias("shard"), *rows.columns)
-    of = lambda p, k: F.to_json(F.array(F.col("s"), F.col("a"), p.cast("string"), k.cast("string")), {"ignoreNullFields": "false"}).alias("shard")
-    events = both.filter("parts is not null and event").withColumn("x", F.explode("attributes")).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    events = events.withColumn("a", F.col("x.a")).select(of(piece("t1"), F.col("k")), *rows.columns)
-    known = both.filter("parts is not null and not event and bounds is not null").withColumn("p", F.explode(F.sequence(piece("t3"), F.when(F.col("t4").isNull(), PIECES - 1).otherwise(piece("t4")))))
-    known = known.select(of(F.col("p"), F.pmod(F.xxhash64("i"), F.col("parts"))), *rows.columns)
-    return cold.unionByName(events).unionByName(known)
+    scratch = Scratch(rows.sparkSession)
+    hot = scratch.write(counts.filter(f"e > {limit} or c > {limit}").select("s"))  # at most one row for each ``limit`` of the input
+    if hot.isEmpty():
+        found = _asked(rows.withColumn("shard", F.col("s")))
+        return found.select("event_id", "attribute", "claim_id")
+    found = _asked(rows.join(hot, "s", "left_anti").withColumn("shard", F.col("s"))).select("event_id", "attribute", "claim_id")
+    return found.unionByName(_hot(scratch, asks.join(hot, "s", "left_semi"), facts.join(hot, "s", "left_semi"), limit)).distinct()
+
+
+def _hot(scratch: Scratch, asks: DataFrame, facts: DataFrame, limit: int) -> DataFrame:
+    """The answers for the events of subjects that are too large for one tree."""
+    slot = ["s", "k"]  # subject and attribute, a null one too
+    facts = facts.distinct().withColumn("k", F.to_json(F.array("a"), {"ignoreNullFields": "false"})).withColumn("at", F.struct("t3", "i"))
+    # a claim in so many marks its place; every so many marks a stretch begins
+    step = max(1, limit // 1000)
+    marks = facts.filter(F.pmod(F.xxhash64("i", "t3"), F.lit(step)) == 0).select(*slot, "at").distinct()
+    marks = marks.withColumn("r", F.row_number().over(Window.partitionBy(*slot).orderBy("at"))).filter(F.col("r") % (limit // step) == 0)
+    bounds = marks.groupBy(*slot).agg(F.array_sort(F.collect_list("at")).alias("bounds"))
+    placed = facts.join(bounds, slot, "left").withColumn("p", F.coalesce(F.size(F.filter("bounds", lambda b: b <= F.col("at"))), F.lit(0)))
+    placed = scratch.write(placed.select(*slot, "p", *_ROW))
+    attributes = placed.select(*slot, "a").distinct().join(bounds, slot, "left")
+    waiting = asks.distinct().drop("a").join(attributes, "s").withColumn("p", F.coalesce(F.size(F.filter("bounds", lambda b: b["t3"] <= F.col("t1"))), F.lit(0)))
+    own = F.to_json(F.array("s", "i")).alias("i")  # an event of two subjects asks for each
+    waiting = scratch.write(waiting.select(*slot, "p", *(own if c == "i" else c for c in _ROW)))
+    results, width = [], 1
+    while not waiting.isEmpty():
+        sent = waiting.withColumn("p", F.explode(F.sequence(F.col("p"), F.greatest(F.lit(0), F.col("p") - (width - 1)), F.lit(-1))))
+        parts = sent.groupBy(*slot, "p").agg(F.ceil(F.count("*") / limit).cast("int").alias("parts"))
+        shard = F.to_json(F.array("s", "k", F.col("p").cast("string"), F.col("part").cast("string"))).alias("shard")
+        events = sent.join(parts, [*slot, "p"]).withColumn("part", F.pmod(F.xxhash64("i", "t1", "t2"), F.col("parts")).cast("int"))
+        claims = placed.join(parts, [*slot, "p"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        found = _asked(events.select(shard, *_ROW).unionByName(claims.select(shard, *_ROW)))
+        found = scratch.write(found.groupBy("event_id", "attribute", "known_at", "valid_at").agg(F.max(F.struct("recorded", "claim_id")).alias("x")))
+        results.append(found.select(F.get_json_object("event_id", "$[1]").alias("event_id"), "attribute", "x.claim_id"))
+        answered = found.select(F.col("event_id").alias("i"), F.to_json(F.array("attribute"), {"ignoreNullFields": "false"}).alias("k"), F.col("known_at").alias("t1"), F.col("valid_at").alias("t2"))
+        before = waiting
+        waiting = scratch.write(waiting.filter(F.col("p") >= width).join(answered, ["i", "k", "t1", "t2"], "left_anti").withColumn("p", F.col("p") - width).select(*slot, "p", *_ROW))
+        scratch.drop(before)
+        width *= 2
+    out = results[0] if results else scratch.spark.createDataFrame([], "event_id string, attribute string, claim_id string")
+    for r in results[1:]:
+        out = out.unionByName(r)
+    return out
