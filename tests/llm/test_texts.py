@@ -164,3 +164,24 @@ def test_planted_repetition_is_removed(spark):
     got = {r.id: r for r in repetition.repetition(spark.createDataFrame(rows, "id long, text string")).collect()}
     assert all(got[i].rejected == (i % 3 != 2) == (got[i].repeated_share >= 0.3) for i in range(60))
     assert all(got[i].kept_repeated_share < 0.3 for i in range(60))
+
+
+def test_filter_holds_every_sequence(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    own, other = rng.integers(-(2**63), 2**63 - 1, 5000), rng.integers(-(2**63), 2**63 - 1, 5000)
+    bits = contamination.bloom(spark.createDataFrame([(int(x),) for x in own], "seq long").repartition(3))
+    assert contamination._passes(bits, own).all() and contamination._passes(bits, other).mean() < 0.01
+
+
+def test_windows_against_brute_force(spark):
+    rng = random.Random(9)
+    rows = [(i, d, p, rng.randrange(12), 4 + i) for i in range(3) for d in range(5) for p in sorted(rng.sample(range(60), 20))]
+    want = {}
+    for i in range(3):
+        for d in range(5):
+            own = [(p, s) for a, b, p, s, _ in rows if (a, b) == (i, d)]
+            want[i, d] = max(len({s for p, s in own if q - (4 + i) < p <= q}) for q, _ in own)
+    df = spark.createDataFrame(rows, "item_id long, doc_id long, pos int, seq long, span int")
+    assert {(r.item_id, r.doc_id): r.window_joint for r in contamination._windows(df).collect()} == want
