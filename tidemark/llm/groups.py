@@ -43,13 +43,14 @@ def _peel(scratch: Scratch, links: DataFrame) -> tuple[DataFrame | None, bool]:
     top = links.groupBy("a").count().orderBy(F.desc("count"), "a").first()
     if top is None:
         return None, True
-    levels = [spark.createDataFrame([(top.a,)], "v string")]
+    levels = [scratch.write(spark.createDataFrame([(top.a,)], "v string"))]
     reached = 1
     while len(levels) < LEVELS:
-        new = links.join(levels[-1].withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v")).distinct()
+        near = links.join(levels[-1].withColumnRenamed("v", "a"), "a").select(F.col("b").alias("v"), F.lit(0).alias("old"))
         for old in levels[-2:]:
-            new = new.join(old, "v", "left_anti")
-        new = scratch.write(new)
+            near = near.unionByName(old.select("v", F.lit(1).alias("old")))
+        # what is new, and each once: one aggregation, combined before its shuffle
+        new = scratch.write(near.groupBy("v").agg(F.max("old").alias("old")).filter("old = 0").select("v"))
         n = new.count()
         if n == 0:
             return reduce(DataFrame.unionByName, levels), True
@@ -60,6 +61,13 @@ def _peel(scratch: Scratch, links: DataFrame) -> tuple[DataFrame | None, bool]:
     return reduce(DataFrame.unionByName, levels), False
 
 
+def _followed(rest: DataFrame) -> DataFrame:
+    """``v``, ``to``: each vertex with the least of its neighbours and itself, followed once."""
+    least_of = rest.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
+    far = least_of.select(F.col("v").alias("to"), F.col("to").alias("further"))
+    return least_of.join(far, "to", "left").select("v", F.coalesce("further", "to").alias("to"))
+
+
 def groups(pairs: DataFrame) -> DataFrame:
     """``group_id`` (the least member), ``id`` of every record that any pair ``a``, ``b`` links."""
     spark = pairs.sparkSession
@@ -80,11 +88,12 @@ def groups(pairs: DataFrame) -> DataFrame:
 
     steps: list[DataFrame] = []
     while rest.count():
-        least_of = rest.groupBy(F.col("a").alias("v")).agg(F.least(F.first("a"), F.min("b")).alias("to"))
-        far = least_of.select(F.col("v").alias("to"), F.col("to").alias("further"))
-        step = scratch.write(least_of.join(far, "to", "left").select("v", F.coalesce("further", "to").alias("to")))
-        moved = rest.join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
-        moved = moved.join(step.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").filter("x != y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct()
+        step = scratch.write(_followed(rest))
+        # links go both ways, so half of them are enough to move, and to turn round
+        half = rest.filter("a < b").join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a").select("x", "b")
+        half = half.join(step.select(F.col("v").alias("b"), F.col("to").alias("y")), "b").filter("x != y")
+        ends = half.select(F.explode(F.array(F.struct(F.col("x").alias("a"), F.col("y").alias("b")), F.struct(F.col("y").alias("a"), F.col("x").alias("b")))).alias("l"))
+        moved = ends.select("l.a", "l.b").distinct()
         moved = scratch.write(moved)
         scratch.drop(rest)
         rest = moved
