@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import contamination, groups, pieces, repetition, tokens
-from tidemark.plans.tables import table
+from tidemark.plans.tables import spread, table
 
 KEYS = ["graph_space_id", "kind", "id_namespace", "value"]
 
@@ -37,17 +37,19 @@ def p2_groups(spark: SparkSession, d: str) -> DataFrame:
 SECTION = ["artifact_id", "section_no", "heading_path", "artifact_char_start"]
 
 
-def _section_pieces(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "handbook_sections").select(*SECTION, "content").dropDuplicates(["artifact_id", "section_no", "content"])
-    return pieces.split(rows, "content", SECTION)
-
-
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
-    return _section_pieces(spark, d).filter("piece > 0").select("artifact_id", "section_no").distinct()
+    """Repeated rows are split as often as they are there, and their sections come out once: no text is shuffled."""
+    rows = table(spark, d, "handbook_sections").select("artifact_id", "section_no", "content")
+    found = pieces.split(spread(rows), "content", ["artifact_id", "section_no"])
+    return found.filter("piece > 0").select("artifact_id", "section_no").distinct()
 
 
 def p4_chunks(spark: SparkSession, d: str) -> DataFrame:
-    found = _section_pieces(spark, d)
+    rows = table(spark, d, "handbook_sections").select(*SECTION, "content")
+    # of rows with one content the first place, then the first path
+    rows = rows.groupBy("artifact_id", "section_no", F.sha2("content", 256).alias("hash")).agg(F.min(F.struct("artifact_char_start", "heading_path")).alias("m"), F.any_value("content").alias("content"))
+    rows = rows.select("artifact_id", "section_no", "m.heading_path", "m.artifact_char_start", "content")
+    found = pieces.split(rows, "content", SECTION)
     return found.select("artifact_id", "section_no", "piece", "content", "token_count", "heading_path", (F.col("artifact_char_start") + F.col("char_start")).alias("artifact_char_start"))
 
 
