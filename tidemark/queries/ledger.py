@@ -10,6 +10,7 @@ from tidemark.operators import asof, ingest, ledger, projection, provenance
 from tidemark.plans import retrieve
 from tidemark.operators.change_feed import changes, position
 from tidemark.plans.tables import spread, table
+from tidemark.queries.retrieval import FNV, hashed
 from tidemark.queries.bindings import CLAIMS, ENTITIES, REQUESTS, SOURCED, claims, entities, requests, sourced
 from tidemark.sources import change_log, chunks, decode, portable
 
@@ -248,7 +249,8 @@ def embed_only_new(spark, d):
     return projection.to_embed(docs, done).agg(F.count("*").alias("texts"), F.sum(F.length("content")).alias("chars"))
 
 
-@query()
+@query(f"""WITH {CLAIMS}, {ENTITIES}, rec AS (SELECT DISTINCT assertion_id AS id, concat_ws(' ', trim(coalesce(canonical_name, subject_id)), lower(replace(predicate_name, '_', ' ')), trim(substr(object_key, position(':' IN object_key) + 1))) AS content
+   FROM c LEFT JOIN en ON en.entity_id = c.subject_id WHERE status NOT IN ('quarantined', 'retracted')), {hashed("rec", "hv")} SELECT id AS record_id, bucket, round(weight, 6) AS weight FROM hv""")
 def hashed_embeddings(spark, d):
     records = projection.claim_records(claims(spark, d), entities(spark, d))
     return projection.hashed_embedding(records).withColumn("weight", F.round("weight", 6))
@@ -319,7 +321,11 @@ def token_count(spark, d):
     return table(spark, d, "documents").filter("text is not null").select("doc_id", text.token_count(F.col("text")).alias("tokens"))
 
 
-@query()
+_SPOKEN = "[\\p{Latin}\\p{Greek}\\p{Cyrillic}]"
+
+
+@query(f"""SELECT doc_id, (CASE WHEN length(text) = 0 THEN 0 ELSE greatest(floor(coalesce(list_sum(list_transform(regexp_extract_all(text, '{_SPOKEN}+|\\p{{Nd}}+|\\n|[^\\s]'),
+   lambda w: CASE WHEN regexp_matches(w, '^{_SPOKEN}') THEN ceil(length(w) / 6.0) WHEN regexp_matches(w, '^\\p{{Nd}}') THEN ceil(length(w) / 3.0) ELSE 1 END)), 0) * 1.05::DOUBLE + 0.999::DOUBLE), 1) END)::INT AS tokens FROM documents WHERE text IS NOT NULL""")
 def token_estimate(spark, d):
     return spread(table(spark, d, "documents").select("doc_id", "text").filter("text is not null")).select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
@@ -370,7 +376,7 @@ def canonical_images(spark, d):
     return rows.select("change_id", F.get_json_object("image", "$.state").alias("state")).distinct()
 
 
-@query()
+@query(f"WITH {ENTITIES} SELECT entity_id, ({FNV % 'canonical_name'})::BIGINT AS hash FROM en WHERE canonical_name IS NOT NULL")
 def fnv_hashes(spark, d):
     return entities(spark, d).filter("canonical_name is not null").select("entity_id", vectors.fnv1a(F.col("canonical_name")).alias("hash"))
 

@@ -162,31 +162,34 @@ def vector_normalize(spark, d):
 # fusion: three retrievers over documents for the same queries
 
 
-def _legs(spark, d) -> DataFrame:
-    q, docs = _asked(spark, d), _documents(spark, d)
-    lexical = search.top(search.bm25(docs, q, k=40), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("lexical"))
-    strict = search.top(search.bm25(docs.filter("length(content) < 900"), q, k=40), 40, F.round("score", 6).desc(), F.col("record_id")).withColumn("mode", F.lit("vector"))
-    entity = lexical.filter("record_id % 3 = 0").withColumn("mode", F.lit("entity"))
-    rows = lexical.unionByName(strict).unionByName(entity).withColumn("score", F.round("score", 6))
-    return rows.withColumn("stream", F.lit(0)).withColumn("surface", F.when(F.col("record_id") % 2 == 0, "chunk").otherwise("assertion")).withColumn("depth", (F.col("record_id") % 2).cast("int"))
+FNV = "list_reduce(list_prepend(2166136261::UBIGINT, list_transform(regexp_extract_all(hex(encode(%s)), '..'), lambda h: ('0x' || h)::UBIGINT)), lambda a, b: (xor(a, b) * 16777619) %% 4294967296)"
+
 
+def hashed(source: str, name: str) -> str:
+    """CTEs that end in ``name`` (id, bucket, weight): the hashed embeddings of source (id, content)."""
+    return f""" {name}_w AS (SELECT id, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]{{2,}}')) AS word FROM {source}),
+ {name}_t AS (SELECT id, word, count(*) AS tf FROM {name}_w GROUP BY 1, 2), {name}_k AS (SELECT word, {FNV % "word"} AS h FROM (SELECT DISTINCT word FROM {name}_t)),
+ {name}_b AS (SELECT id, (h % 1536)::INT AS bucket, sum(CASE WHEN h >= 2147483648 THEN -1.0::DOUBLE ELSE 1.0::DOUBLE END * (1 + ln(tf))) AS w FROM {name}_t JOIN {name}_k USING (word) GROUP BY 1, 2),
+ {name}_n AS (SELECT id, sqrt(sum(w * w)) AS n FROM {name}_b GROUP BY 1),
+ {name} AS (SELECT id, bucket, w / n AS weight FROM {name}_b JOIN {name}_n USING (id) WHERE n > 0)"""
 
-_LEGS = _BM25 + """,
- w2 AS (SELECT * FROM w WHERE doc_id IN (SELECT doc_id FROM documents WHERE length(text) < 900)),
- p2 AS (SELECT doc_id, term, count(*) AS tf, any_value(chars) AS chars FROM w2 WHERE term IN (SELECT term FROM qt) GROUP BY 1, 2),
- pool2 AS (SELECT count(*)::DOUBLE AS n, greatest(coalesce(avg(length(text)), 1), 1) AS avgdl FROM documents WHERE length(text) < 900),
- df2 AS (SELECT term, count(*)::DOUBLE AS df FROM p2 GROUP BY 1),
- h2 AS (SELECT query_id, p2.doc_id AS record_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * chars / avgdl))) AS score FROM p2 JOIN df2 USING (term) JOIN qt USING (term) CROSS JOIN pool2 GROUP BY 1, 2),
+
+_LEGS = _BM25 + f""",
+ qd AS (SELECT query_id AS id, query AS content FROM q), dd AS (SELECT doc_id AS id, text AS content FROM documents), {hashed("qd", "qv")}, {hashed("dd", "dv")},
+ vh AS (SELECT qv.id AS query_id, dv.id AS record_id, sum(qv.weight * dv.weight) AS score FROM qv JOIN dv USING (bucket) GROUP BY 1, 2),
+ vx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, record_id) AS rank FROM vh WHERE round(score, 9) > 0),
+ eq AS (SELECT item_id AS query_id, answer, {_GRAMS % 'answer'} AS qg FROM eval_items WHERE item_id % 50 = 0 AND answer <> ''),
+ eh AS (SELECT query_id, doc_id AS record_id, {_GRAMS % 'text'} AS g, qg, length(text) AS chars FROM documents JOIN eq ON contains(lower(text), lower(answer))),
+ ex AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, chars, record_id) AS rank FROM (SELECT query_id, record_id, chars, {_like('g', 'qg')} AS score FROM eh)),
  lx AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, record_id) AS rank FROM h),
- st AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, record_id) AS rank FROM h2),
  cand AS (SELECT query_id, 'lexical' AS mode, record_id, rank, round(score, 6) AS score FROM lx WHERE rank <= 40
-   UNION ALL SELECT query_id, 'vector', record_id, rank, round(score, 6) FROM st WHERE rank <= 40
-   UNION ALL SELECT query_id, 'entity', record_id, rank, round(score, 6) FROM lx WHERE rank <= 40 AND record_id % 3 = 0),
- best AS (SELECT *, max(score) OVER (PARTITION BY query_id, mode) AS best FROM cand),
- marked AS (SELECT *, (best > 0 AND score < best * 0.35 AND mode <> 'entity') AS weak FROM best),
+   UNION ALL SELECT query_id, 'exact', record_id, rank, round(score, 6) FROM ex WHERE rank <= 40
+   UNION ALL SELECT query_id, 'vector', record_id, rank, round(score, 6) FROM vx WHERE rank <= 40),
+""" + """ best AS (SELECT *, max(score) OVER (PARTITION BY query_id, mode) AS best FROM cand),
+ marked AS (SELECT *, (best > 0 AND score < best * 0.35 AND mode <> 'exact') AS weak FROM best),
  again AS (SELECT query_id, mode, record_id, score, weak, row_number() OVER (PARTITION BY query_id, mode, weak ORDER BY rank, record_id) AS rank FROM marked),
  part AS (SELECT *, max(score) OVER (PARTITION BY query_id, mode, weak) AS top FROM again),
- con AS (SELECT query_id, mode, record_id, weak, rank, CASE mode WHEN 'entity' THEN 1.2 ELSE 1.0 END::DOUBLE / (60 + rank) * CASE WHEN mode = 'entity' OR top <= 0 THEN 1 ELSE 0.4 + 0.6 * least(1, score / top) END / (1 + 0.5 * (record_id % 2)) AS c FROM part),
+ con AS (SELECT query_id, mode, record_id, weak, rank, CASE mode WHEN 'exact' THEN 1.4 ELSE 1.0 END::DOUBLE / (60 + rank) * CASE WHEN mode = 'exact' OR top <= 0 THEN 1 ELSE 0.4 + 0.6 * least(1, score / top) END / (1 + 0.5 * (record_id % 2)) AS c FROM part),
  fu AS (SELECT query_id, record_id, weak, sum(c) AS score, count(DISTINCT mode) AS retrievers FROM con GROUP BY 1, 2, 3),
  strong AS (SELECT query_id, record_id, score, retrievers, false AS tail FROM fu WHERE NOT weak),
  tl AS (SELECT f.query_id, f.record_id, f.score / (SELECT max(score) FROM fu x WHERE x.weak AND x.query_id = f.query_id) * (SELECT min(score) FROM strong s WHERE s.query_id = f.query_id) * 0.9 AS score, retrievers, true AS tail
@@ -194,7 +197,7 @@ _LEGS = _BM25 + """,
 _PLACED = "SELECT query_id, record_id, round(score, 6) AS score, retrievers, row_number() OVER (PARTITION BY query_id ORDER BY tail, round(score, 12) DESC, retrievers DESC, record_id)::INT AS position FROM %s"
 
 
-def _whole_legs(spark, d) -> DataFrame:
+def _legs(spark, d) -> DataFrame:
     """Words, literal answers and hashed embeddings, each over all documents."""
     q, docs = _asked(spark, d), _documents(spark, d)
     answers = table(spark, d, "eval_items").filter("item_id % 50 = 0").select(F.col("item_id").alias("query_id"), F.col("answer").alias("query"))
@@ -225,15 +228,24 @@ def weak_tail_split(spark, d):
     return fusion.split_tails(_legs(spark, d)).groupBy("query_id", "mode").agg(F.count("*").alias("candidates"), F.count(F.when(F.col("weak"), 1)).alias("weak"))
 
 
-@query()
+@query(_LEGS + """, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, retrievers DESC, record_id) AS position, record_id % 2 AS surface FROM strong),
+ hd AS (SELECT *, position <= 10 AS head FROM pl),
+ ct AS (SELECT *, count(*) FILTER (head) OVER (PARTITION BY query_id, surface) AS held, row_number() OVER (PARTITION BY query_id, surface, head ORDER BY position) AS nth, row_number() OVER (PARTITION BY query_id, surface, head ORDER BY position DESC) AS from_end FROM hd),
+ mv AS (SELECT *, NOT head AND nth <= 2 - held AS comes, head AND from_end <= held - 2 AS goes FROM ct),
+ ch AS (SELECT *, least(count(*) FILTER (comes) OVER (PARTITION BY query_id), count(*) FILTER (goes) OVER (PARTITION BY query_id), 5) AS n,
+   row_number() OVER (PARTITION BY query_id, comes ORDER BY position) AS c_no, row_number() OVER (PARTITION BY query_id, goes ORDER BY position DESC) AS g_no FROM mv)
+ SELECT query_id, record_id, round(score, 6) AS score, retrievers, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, record_id)::INT AS position FROM ch WHERE CASE WHEN head THEN NOT (goes AND g_no <= n) ELSE comes AND c_no <= n END""")
 def diversified(spark, d):
-    return _shown(fusion.diversify(fusion.fuse(_whole_legs(spark, d)), 10, 2))
+    return _shown(fusion.diversify(fusion.fuse(_legs(spark, d)), 10, 2))
 
 
-@query()
+@query(_LEGS + """, pl AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, retrievers DESC, record_id) AS place FROM strong),
+ hit AS (SELECT pl.*, coalesce(contains(lower(d.text), an.term), false) AS anchored FROM pl JOIN documents d ON d.doc_id = pl.record_id LEFT JOIN an USING (query_id)),
+ ps AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY anchored DESC, place)::INT AS position FROM hit)
+ SELECT query_id, record_id, round(score, 6) AS score, retrievers, position FROM ps WHERE position <= 20""")
 def anchored_first(spark, d):
     anchors = _anchors(spark, d).withColumnRenamed("term", "anchor")
-    return _shown(fusion.anchored_first(fusion.fuse(_whole_legs(spark, d)), _documents(spark, d), anchors, 20))
+    return _shown(fusion.anchored_first(fusion.fuse(_legs(spark, d)), _documents(spark, d), anchors, 20))
 
 
 # graph: suppliers supply parts, customers and suppliers belong to nations, nations to regions
