@@ -10,8 +10,8 @@ from tidemark.operators import asof, ingest, ledger, projection, provenance
 from tidemark.plans import retrieve
 from tidemark.operators.change_feed import changes, position
 from tidemark.plans.tables import spread, table
-from tidemark.queries.retrieval import FNV, hashed
 from tidemark.queries.bindings import CLAIMS, ENTITIES, REQUESTS, SOURCED, claims, entities, requests, sourced
+from tidemark.queries.retrieval import FNV, hashed
 from tidemark.sources import change_log, chunks, decode, portable
 
 QUERIES: dict = {}
@@ -178,7 +178,9 @@ def cdc_stream_counts(spark, d):
     return rows.groupBy("stream_name").agg(F.countDistinct("record_id").alias("records"), F.count(F.when(F.col("operation") == "delete", 1)).alias("deletes"))
 
 
-@query()
+@query("""WITH f AS (SELECT DISTINCT change_id, stream_name, lower(trim(operation)) AS op, record_key, coalesce(after_image, before_image) AS shown FROM change_events)
+ SELECT DISTINCT change_id, concat_ws(chr(10), concat_ws(' ', stream_name, op, stream_name || ':' || (SELECT string_agg(k || '=' || coalesce(json_extract_string(record_key, '$."' || k || '"'), 'null'), ',' ORDER BY k) FROM (SELECT unnest(json_keys(record_key)) AS k))),
+   (SELECT string_agg(k || ': ' || coalesce(json_extract_string(shown, '$."' || k || '"'), 'null'), chr(10) ORDER BY k) FROM (SELECT unnest(json_keys(shown)) AS k))) AS content FROM f""")
 def change_row_text(spark, d):
     rows = table(spark, d, "change_events").select("change_id", change_log.row_text(F.col("stream_name"), F.lower(F.trim("operation")), F.col("record_key"), F.coalesce("after_image", "before_image")).alias("content"))
     return rows.distinct()

@@ -335,16 +335,38 @@ def _mentions(spark, d) -> DataFrame:
     )
 
 
-@query()
+_ALIAS = "trim(regexp_replace(lower(%s), '\\s+', ' ', 'g'))"
+_RESOLVE = f"""WITH {ENTITIES}, idn AS (SELECT DISTINCT * FROM entity_identifiers),
+ x AS (SELECT idn.*, canonical_name, entity_type, kind = 'upstream' AS up, ascii(substr(identifier_id, 1, 1)) % 4 AS n FROM idn JOIN en USING (entity_id)),
+ m AS (SELECT identifier_id AS mention_id, x.graph_space_id AS g, canonical_name AS name, {_ALIAS % 'canonical_name'} AS alias, CASE WHEN n = 2 THEN 'unknown' ELSE entity_type END AS entity_type,
+   CASE WHEN up THEN id_namespace END AS s_ns, lower(trim(CASE WHEN up AND n <> 1 THEN id_value END)) AS s_id, CASE WHEN NOT up THEN id_namespace END AS k_ns, lower(trim(CASE WHEN NOT up AND n <> 1 THEN id_value END)) AS k_id FROM x),
+ v AS (SELECT *, lower(trim(id_value)) AS value FROM idn WHERE trim(id_value) <> ''),
+ b AS (SELECT graph_space_id AS g, kind, id_namespace AS ns, value, arg_min(entity_id, (created_at, identifier_id, entity_id)) AS bound FROM v WHERE graph_space_id IS NOT NULL AND kind IS NOT NULL AND id_namespace IS NOT NULL GROUP BY 1, 2, 3, 4),
+ al AS (SELECT graph_space_id AS g, entity_id AS candidate, canonical_name AS name, {_ALIAS % 'canonical_name'} AS alias, coalesce(entity_type, 'unknown') AS type FROM en WHERE canonical_name IS NOT NULL),
+ own AS (SELECT mention_id, g, 'upstream' AS kind, s_ns AS ns, s_id AS mine FROM m WHERE s_id <> '' UNION ALL SELECT mention_id, g, 'domain', k_ns, k_id FROM m WHERE k_id <> ''),
+ named AS (SELECT DISTINCT m.mention_id, candidate, m.g FROM m JOIN al ON al.g = m.g AND al.alias = m.alias WHERE m.entity_type IS NULL OR m.entity_type IN ('', 'unknown') OR type = m.entity_type OR type = 'unknown'),
+ strange AS (SELECT DISTINCT named.mention_id, candidate FROM named JOIN b ON b.g = named.g AND b.bound = candidate JOIN own ON own.mention_id = named.mention_id AND own.g = named.g AND own.kind = b.kind AND own.ns = b.ns WHERE value <> mine),
+ ex AS (SELECT mention_id, min(candidate) AS alias_entity, count(*) AS exact FROM named WHERE NOT EXISTS (SELECT 1 FROM strange s WHERE s.mention_id = named.mention_id AND s.candidate = named.candidate) GROUP BY 1),
+ st AS (SELECT m.mention_id, m.name, m.g, bs.bound AS by_source, bk.bound AS by_key, alias_entity, exact FROM m
+   LEFT JOIN b bs ON bs.g = m.g AND bs.kind = 'upstream' AND bs.ns = m.s_ns AND bs.value = m.s_id LEFT JOIN b bk ON bk.g = m.g AND bk.kind = 'domain' AND bk.ns = m.k_ns AND bk.value = m.k_id LEFT JOIN ex ON ex.mention_id = m.mention_id),
+ op AS (SELECT mention_id, g, {_GRAMS % 'name'} AS qg FROM st WHERE by_source IS NULL AND by_key IS NULL AND exact IS NULL AND name <> ''),
+ ag AS (SELECT DISTINCT g, candidate, {_GRAMS % 'name'} AS gr FROM al),
+ fz AS (SELECT mention_id, count(DISTINCT candidate) AS fuzzy FROM op JOIN ag ON ag.g = op.g WHERE {_like('gr', 'qg')} >= 0.55 GROUP BY 1),
+ rs AS (SELECT st.mention_id, CASE WHEN by_source IS NOT NULL THEN 'source_identifier' WHEN by_key IS NOT NULL THEN 'domain_key' WHEN exact = 1 THEN 'exact_alias' WHEN exact > 1 THEN 'ambiguous' WHEN fuzzy > 0 THEN 'fuzzy_candidates' ELSE 'created' END AS method,
+   coalesce(by_source, by_key, CASE WHEN exact = 1 THEN alias_entity END) AS entity_id, CASE WHEN by_source IS NOT NULL THEN 1.0 WHEN by_key IS NOT NULL THEN 0.99 WHEN exact = 1 THEN 0.9 END::DOUBLE AS confidence,
+   coalesce(exact, least(fuzzy, 10), 0)::BIGINT AS candidates FROM st LEFT JOIN fz ON fz.mention_id = st.mention_id)"""
+
+
+@query(_RESOLVE + " SELECT * FROM rs")
 def resolve_ladder(spark, d):
     bindings = resolve.first_bindings(table(spark, d, "entity_identifiers").distinct())
     aliases = entities(spark, d).filter("canonical_name is not null").select("graph_space_id", "entity_id", F.col("canonical_name").alias("name"), F.coalesce("entity_type", F.lit("unknown")).alias("entity_type"))
     return resolve.resolve(_mentions(spark, d), bindings, aliases)
 
 
-@query()
+@query(_RESOLVE + " SELECT * FROM rs WHERE method IN ('ambiguous', 'fuzzy_candidates')")
 def ambiguous_mentions(spark, d):
-    return resolve.for_review(resolve_ladder(spark, d)).groupBy("method").agg(F.count("*").alias("mentions"))
+    return resolve.for_review(resolve_ladder(spark, d))
 
 
 @query("""WITH i AS (SELECT DISTINCT *, lower(trim(id_value)) AS value FROM entity_identifiers WHERE trim(id_value) <> '')
