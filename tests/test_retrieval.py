@@ -302,3 +302,14 @@ def test_questions_are_planned_in_batches(spark):
     got = {r.query_id: r for r in intent.planned(q, embedder=False).collect()}
     assert sorted(got) == [1, 3] and got[1].focus == ["CASE-77"] and got[1].valid_at == datetime(2024, 5, 6) and got[1].width == 3
     assert [(s.query, s.searched, s.anchors) for s in got[1].subqueries] == [("Who owns CASE-77 as of 2024-05-06?", True, ["CASE-77"]), ("CASE-77", True, [])]
+
+
+def test_required_claims(spark):
+    hits = spark.createDataFrame([("q", "a1", 1.0, 1.0), ("q", "b1", 0.8, 0.0), ("r", "a1", 0.5, 0.0), ("n", "a1", 0.5, 0.0)], "query_id string, record_id string, relevance double, focus double")
+    day = lambda n: datetime(2024, 1, n)
+    claims = spark.createDataFrame([(f"a{i}", "s", "p", day(i)) for i in range(1, 13)] + [("b1", "t", "p", day(1)), ("b2", "t", "p", day(2))], "assertion_id string, subject_id string, predicate_name string, recorded_at timestamp_ntz")
+    planned = spark.createDataFrame([("q", ["history"], None, day(10)), ("r", ["decision_trace"], None, None), ("n", ["provenance"], None, None)], "query_id string, requirements array<string>, valid_at timestamp_ntz, known_at timestamp_ntz")
+    inputs = spark.createDataFrame([("a1", "x1"), ("a1", "x2"), ("a1", "x1")], "assertion_id string, input_id string")
+    got = sorted((r.query_id, r.record_id, round(r.relevance, 3)) for r in context.required(hits, claims, planned, inputs).collect())
+    # the eight latest of the slot that were known by then; the other subject isn't what the question is about
+    assert got == sorted([("q", f"a{i}", 0.9) for i in range(3, 11)] + [("r", "x1", 0.475), ("r", "x2", 0.475)])
